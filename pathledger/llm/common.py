@@ -55,3 +55,8 @@ def fresh(name: str, taken: list[str]) -> str:
     while name.lower() in low:
         name = f"{name}_{uuid.uuid4().hex[:6]}"
     return name
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit the bytes of an Arrow batch, so a batch of very long texts stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))

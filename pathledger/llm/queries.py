@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, quality, sharding, simhash
+from . import chat, mixing, packing, pii, quality, sharding, simhash
 from .common import cut, table
 
 
@@ -22,6 +22,10 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.neighbour_preferences(table(spark, sf_dir, "conversations")))
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op4_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -42,6 +46,7 @@ ORACLES: dict[str, str] = {}
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_preference_format": op2_preference_format,
+    "op3_surrogates": op3_surrogates,
     "op4_simhash_vp_tree": op4_simhash_vp_tree,
     "op7_source_mixture": op7_source_mixture,
     "op8_byte_shards": op8_byte_shards,

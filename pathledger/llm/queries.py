@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, packing, pii, quality, sharding, simhash
+from . import ann, chat, mixing, packing, pii, quality, sharding, simhash
 from .common import cut, table
 
 
@@ -31,6 +31,10 @@ def op4_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(mixing.leaf_rows(table(spark, sf_dir, "documents")))
     return mixing.mixture(rows, mixing.plan_mixture(rows))
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_preference_format": op2_preference_format,
     "op3_surrogates": op3_surrogates,
     "op4_simhash_vp_tree": op4_simhash_vp_tree,
+    "op5_robust_graph": op5_robust_graph,
     "op7_source_mixture": op7_source_mixture,
     "op8_byte_shards": op8_byte_shards,
     "op10_quality_rules": op10_quality_rules,

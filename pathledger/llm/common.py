@@ -60,3 +60,10 @@ def fresh(name: str, taken: list[str]) -> str:
 def bounded_batches(spark: SparkSession) -> None:
     """Limit the bytes of an Arrow batch, so a batch of very long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Compute df once, as a table in the shared folder: smaller there than a checkpoint."""
+    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

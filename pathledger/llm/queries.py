@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, pii, quality, sharding, simhash
+from . import ann, chat, mixing, packing, pii, quality, sharding, simhash, suffix_dedup
 from .common import cut, table
 
 
@@ -47,6 +47,11 @@ def op8_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES: dict[str, str] = {}
 
+def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.remove_passages(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_preference_format": op2_preference_format,
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_robust_graph": op5_robust_graph,
     "op7_source_mixture": op7_source_mixture,
     "op8_byte_shards": op8_byte_shards,
+    "op9_suffix_family": op9_suffix_family,
     "op10_quality_rules": op10_quality_rules,
 }
 

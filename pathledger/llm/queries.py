@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, mixing, packing, pii, quality, sharding, simhash, suffix_dedup
+from . import ann, chat, lm, mixing, packing, pii, quality, sharding, simhash, suffix_dedup
 from .common import cut, table
 
 
@@ -35,6 +35,10 @@ def op5_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = cut(mixing.leaf_rows(table(spark, sf_dir, "documents")))
     return mixing.mixture(rows, mixing.plan_mixture(rows))
@@ -58,6 +62,7 @@ QUERIES = {
     "op3_surrogates": op3_surrogates,
     "op4_simhash_vp_tree": op4_simhash_vp_tree,
     "op5_robust_graph": op5_robust_graph,
+    "op6_attention_scores": op6_attention_scores,
     "op7_source_mixture": op7_source_mixture,
     "op8_byte_shards": op8_byte_shards,
     "op9_suffix_family": op9_suffix_family,

@@ -31,7 +31,7 @@ from .components import components, local_roots
 SHINGLE, SEED, RADIUS = 3, 42, 2
 #: Fingerprints in a shard, as measured, before a level is added.
 SHARD_SIZE = 8192
-MAX_LEVELS = 5
+MIN_LEVELS, MAX_LEVELS = 2, 5
 LEAF = 64
 #: Links held in a shard before they are drawn together into stars.
 HELD_LINKS = 1 << 20
@@ -120,7 +120,7 @@ def shard_links(fp: np.ndarray, member: np.ndarray, own: np.ndarray, radius: int
 
 def links(distinct: DataFrame, radius: int = RADIUS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """a, b: links that join all fingerprints (column fp, distinct) within radius of each other."""
-    levels = 1
+    levels = MIN_LEVELS
     while True:
         keys = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v).cast("long"))).cast("long") for v in vantage_points(levels)]
         shard = F.lit(0).cast("long")

@@ -35,7 +35,7 @@ BUDGET_PERCENT = 60
 MAX_EPOCHS = 2
 SEED = 17
 #: Rows that one slice of an epoch's order may hold on average.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 4_000
 #: More leaves than this are joined by a shuffle instead of broadcast.
 BROADCAST_LEAVES = 20_000
 

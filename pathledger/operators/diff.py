@@ -17,10 +17,9 @@ def snapshot_diff(state: DataFrame, pairs: DataFrame) -> DataFrame:
     Missing sides count 0. error falls back to the baseline; what tells of folding doesn't where
     the current row exists. A deleted path below a folded current directory is only hidden.
     """
-    p = pairs.select("root_path", "baseline_snapshot_id", "current_snapshot_id")
-    side = lambda key: state.join(p, (state["root_path"] == p["root_path"]) & (state["snapshot_id"] == p[key])).select(
-        p["root_path"], "baseline_snapshot_id", "current_snapshot_id", state["path"], F.struct(*[state[c] for c in state.columns if c not in ("root_path", "path", "snapshot_id")]).alias("s")
-    )
+    p = pairs.select(F.col("root_path").alias("_root"), "baseline_snapshot_id", "current_snapshot_id")
+    own = F.struct(*[c for c in state.columns if c not in ("root_path", "path", "snapshot_id")]).alias("s")
+    side = lambda key: state.join(p, (F.col("root_path") == F.col("_root")) & (F.col("snapshot_id") == F.col(key))).select("root_path", "baseline_snapshot_id", "current_snapshot_id", "path", own)
     keys = ["root_path", "baseline_snapshot_id", "current_snapshot_id", "path"]
     both = side("baseline_snapshot_id").withColumnRenamed("s", "b").join(side("current_snapshot_id").withColumnRenamed("s", "c"), keys, "full_outer")
     zero = lambda x: F.coalesce(x, F.lit(0).cast("long"))

@@ -27,11 +27,10 @@ def growth_frontier(diff: DataFrame) -> DataFrame:
     rows = diff.filter(F.col("classification").isin("created", "grown") & (F.col("disk_delta") > 0)).persist()  # read by each step
     low = rows.select(*SCOPE, F.col("path").alias("low_path"), F.col("disk_delta").alias("low_delta"), F.col("depth").alias("low_depth"))
     pairs = paths.with_ancestors(low, "low_path", "path").join(rows.select(*keys, "disk_delta"), keys)
-    # of equals the first path: bytes are complemented through their hex form to turn the order
-    first = F.translate(F.hex("low_path"), "0123456789ABCDEF", "FEDCBA9876543210")
-    best = F.max(F.when(F.col("low_delta").cast("double") >= F.lit(DOMINANCE) * F.col("disk_delta"), F.struct("low_delta", "low_depth", F.rpad(first, 8192, "G").alias("turned"), "low_path")))
-    dominated = pairs.groupBy(*keys).agg(best.alias("best")).filter("best is not null")
-    ups = dominated.groupBy(*SCOPE, F.col("best.low_path").alias("path")).agg(F.count(F.lit(1)).alias("suppressed_ancestor_count"))
+    enough = pairs.filter(F.col("low_delta").cast("double") >= F.lit(DOMINANCE) * F.col("disk_delta"))
+    best = Window.partitionBy(*keys).orderBy(F.desc("low_delta"), F.desc("low_depth"), "low_path")  # the first alone leaves each task
+    dominated = enough.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*keys, "low_path")
+    ups = dominated.groupBy(*SCOPE, F.col("low_path").alias("path")).agg(F.count(F.lit(1)).alias("suppressed_ancestor_count"))
     left = rows.join(dominated.select(*keys), keys, "left_anti").persist()
     above = paths.with_ancestors(left.select(*SCOPE, F.col("path").alias("low_path")), "low_path", "path").join(left.select(*keys, "depth"), keys)
     cover = above.groupBy(*SCOPE, "low_path").agg(F.min_by("path", F.length("path")).alias("path"))

@@ -38,8 +38,10 @@ def subtree_sums(entries: DataFrame) -> DataFrame:
     at_root = t == F.col("root_path")
     rel = paths.relative_t(t, F.col("root_path"))
     out = sums.withColumns({"parent_path": F.when(~at_root, paths.parent(F.col("path"))), "depth": F.when(at_root, 0).otherwise(F.size(F.split(rel, "/")))})
-    turned = F.translate(F.hex("path"), "0123456789ABCDEF", "FEDCBA9876543210")
-    child = out.filter("parent_path is not null").groupBy("root_path", F.col("parent_path").alias("path")).agg(F.max(F.struct("disk_bytes", F.rpad(turned, 8192, "G").alias("t"), F.col("path").alias("p"))).alias("top"), F.count(F.lit(1)).alias("direct_directories"))
+    w = Window.partitionBy("root_path", "parent_path").orderBy(F.desc("disk_bytes"), "path")
+    below = out.filter("parent_path is not null")
+    top = below.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("root_path", F.col("parent_path").alias("path"), F.struct("disk_bytes", F.col("path").alias("p")).alias("top"))
+    child = below.groupBy("root_path", F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("direct_directories")).join(top, ["root_path", "path"])
     out = out.join(child, ["root_path", "path"], "left")
     return out.select(
         "root_path", "path", "parent_path", "depth", "apparent_bytes", "disk_bytes", "file_count", "dir_count", F.when(F.col("error_name").isNotNull(), F.col("raw_error")).alias("error"),

@@ -8,6 +8,9 @@ P(X <= k | n, alpha / rules) has to be at most delta / tests. The share alpha is
 the rules and delta among all (stratum, rule, cutoff) tests (Bonferroni), so with probability
 1 - delta no stratum loses more than alpha of its good documents to all its rules together.
 Rules without a certified cutoff reject nothing.
+
+The query op10 follows its oracle: languages beyond the MAX_STRATA best labelled take cutoffs pooled over
+all. The pipeline certifies every language by itself, and one without a certificate rejects by the base rule alone.
 """
 
 from __future__ import annotations
@@ -24,8 +27,10 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.05
 DELTA = 0.05
-#: More languages than this share one pooled stratum; it bounds the table of cutoffs.
+#: In op10 more languages than this share one pooled stratum; it bounds the table of cutoffs.
 MAX_STRATA = 64
+#: More strata with cutoffs than this are joined instead of broadcast.
+BROADCAST_STRATA = 20_000
 POOLED = "*"
 #: Rejected above; each a share of the words, or of the letters for capitals.
 GRIDS: dict[str, list[float]] = {
@@ -100,9 +105,10 @@ def _signals() -> dict[str, Column]:
     }
 
 
-def choose_cutoffs(good: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, grids: dict[str, list[float]] = GRIDS, max_strata: int = MAX_STRATA) -> DataFrame:
+def choose_cutoffs(good: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, grids: dict[str, list[float]] = GRIDS, max_strata: int | None = MAX_STRATA) -> DataFrame:
     """Cutoffs from the counts of good documents: stratum and one column for each rule (null:
-    nothing certified). At most max_strata strata and the pooled one, so the table is small.
+    nothing certified). At most max_strata strata and the pooled one, so the table is small; with None all
+    strata and no pooled one.
 
     good: one row for each labelled good document (copies once, they aren't independent), with
     ``stratum`` and the counts. Null strata are the stratum ''. Without good rows, no cutoffs.
@@ -112,9 +118,13 @@ def choose_cutoffs(good: DataFrame, stratum: str = "lang", alpha: float = ALPHA,
     sig = good.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *[s.alias(k) for k, s in _signals().items() if k in grids])
     above = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{j}") for r, j, c in grid]
     per = sig.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above)
-    largest = per.orderBy(F.desc("n"), "stratum").limit(max_strata)
-    both = largest.unionByName(sig.agg(F.lit(POOLED).alias("stratum"), F.count(F.lit(1)).alias("n"), *above)).filter("n > 0")
-    tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) * len(grid)
+    if max_strata is None:
+        both = cut(per)
+        tests = F.lit(both.count() * len(grid))
+    else:
+        largest = per.orderBy(F.desc("n"), "stratum").limit(max_strata)
+        both = largest.unionByName(sig.agg(F.lit(POOLED).alias("stratum"), F.count(F.lit(1)).alias("n"), *above)).filter("n > 0")
+        tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) * len(grid)
     state = lambda lt, ls, best: F.struct(lt.alias("lt"), ls.alias("ls"), best.alias("best"))
 
     def more(a: Column, i: Column) -> Column:
@@ -135,19 +145,26 @@ def choose_cutoffs(good: DataFrame, stratum: str = "lang", alpha: float = ALPHA,
     return got.select("stratum", "n", "most", *[rule(r) for r in grids])
 
 
-def apply_cutoffs(counted: DataFrame, cutoffs: DataFrame, stratum: Column, rules: list[str] | None = None) -> DataFrame:
+def apply_cutoffs(counted: DataFrame, cutoffs: DataFrame, stratum: Column, rules: list[str] | None = None, pooled: bool = True) -> DataFrame:
     """counted with ``kept``: false if the base rule or any certified cutoff rejects the row.
-    Rows of strata without cutoffs of their own take the pooled ones."""
+    Rows of strata without cutoffs of their own take the pooled ones; with pooled false none, and
+    the table of cutoffs can have any size."""
     rules = rules or list(GRIDS)
     taken = counted.columns
     key, own, pool = (fresh(n, taken) for n in ("_stratum", "_own", "_pool"))
     pair = F.struct(*[F.col(r) for r in rules])
-    small = F.broadcast(cutoffs.filter(F.col("stratum") != POOLED).select(F.col("stratum").alias(key), pair.alias(own)))
-    pooled = F.broadcast(cutoffs.filter(F.col("stratum") == POOLED).select(pair.alias(pool)))
-    out = counted.withColumn(key, F.coalesce(stratum, F.lit(""))).join(small, key, "left").join(pooled, F.lit(True), "left")
+    out = counted.withColumn(key, F.coalesce(stratum, F.lit("")))
+    if pooled:
+        small = F.broadcast(cutoffs.filter(F.col("stratum") != POOLED).select(F.col("stratum").alias(key), pair.alias(own)))
+        rest = F.broadcast(cutoffs.filter(F.col("stratum") == POOLED).select(pair.alias(pool)))
+        out = out.join(small, key, "left").join(rest, F.lit(True), "left")
+    else:
+        own_ones = cutoffs.filter(F.coalesce(*[F.col(r) for r in rules]).isNotNull()).select(F.col("stratum").alias(key), pair.alias(own))
+        few = own_ones.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+        out = out.join(F.broadcast(own_ones) if few else own_ones, key, "left")
     bad = F.lit(False)
     for r in rules:
-        limit = F.when(F.col(own).isNotNull(), F.col(f"{own}.{r}")).otherwise(F.col(f"{pool}.{r}"))
+        limit = F.when(F.col(own).isNotNull(), F.col(f"{own}.{r}")).otherwise(F.col(f"{pool}.{r}")) if pooled else F.col(f"{own}.{r}")
         bad = bad | F.coalesce(_signals()[r] > limit, F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop(key, own, pool)
 
@@ -177,5 +194,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     c = quality_counts(docs)
     held = cut(c.select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), F.xxhash64("row.text").alias("text_hash"), *BASE))
-    cutoffs = cut(choose_cutoffs(good_documents(held, labels)))
-    return apply_cutoffs(c, cutoffs, F.col("row.lang")).filter("kept").select("row.*")
+    cutoffs = cut(choose_cutoffs(good_documents(held, labels), max_strata=None))
+    return apply_cutoffs(c, cutoffs, F.col("row.lang"), pooled=False).filter("kept").select("row.*")

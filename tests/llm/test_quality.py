@@ -1,10 +1,11 @@
 import math
+import random
 import re
 from collections import Counter
 
 from pathledger.llm import quality
 
-from .helpers import documents, empty
+from .helpers import SCHEMA, documents, empty, prose
 
 
 def brute(text):
@@ -53,3 +54,23 @@ def test_kept_rows_and_empty_tables(spark):
     assert not verdict[100, 0] and verdict[105, 6000]
     assert quality.judge(empty(spark), some).count() == 0
     assert quality.keep_good(docs, labels(spark, [])).count() == kept.count()
+
+
+def test_languages_without_a_certificate_lose_nothing_to_those_with_one(spark, monkeypatch):
+    # English has good labels for a certificate; the signs of the unlabelled and the little labelled language are its own
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60), "en") for i in range(1200)]
+    rows += [(2000 + i, " ".join(w.upper() for w in prose(rng, 60).split()) + " # # # # #", lang) for i in range(20) for lang in ("xx", "yy", "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1, "x", "y", "z", "w") for i, t, lang in rows], SCHEMA)
+    some = labels(spark, [(i, 1, 0) for i in range(1200)])
+    for most in (quality.BROADCAST_STRATA, 0):
+        monkeypatch.setattr(quality, "BROADCAST_STRATA", most)
+        left = quality.keep_good(docs, some).groupBy("lang").count().collect()
+        assert {r["lang"]: r["count"] for r in left} == {"en": 1200, "xx": 20, "yy": 20}
+
+
+def test_every_language_is_certified_by_itself(spark):
+    rows = [(f"l{k:03}", 0.0) for k in range(70) for _ in range(1000)]
+    good = spark.createDataFrame([(lang, 100, 500, int(100 * s), 0, 0, 10, 0) for lang, s in rows], "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long")
+    got = quality.choose_cutoffs(good, max_strata=None).collect()
+    assert len(got) == 70 and all(r["symbol_share"] == 0.02 for r in got)

@@ -57,6 +57,12 @@ SECRET = re.compile(r"(?i)(?:password|passwd|passphrase|secret|token|api[_\-]?ke
 IP = re.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)")
 CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7})(?!\d)")
 PHONE = re.compile(r"(?<![\d+])(?:\+(\d{1,3})[^\w+]{1,8}\d{2,4}[^\w+]{1,8}\d{3,4}[^\w+]{1,6}\d{3,4}|\(\d{3}\)[^\w+]{1,6}\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)")
+#: A country code and the groups after it, or both in one; a US number by a bracketed area, or by groups of 3, 3 and 4.
+INTERNATIONAL = re.compile(r"\+(\d{1,15}(?:[ .\-/\u00a0()]{1,3}\d{1,8}){0,6})(?!\d)")
+BRACKETED = re.compile(r"\(\d{3}\)[^\w+]{0,6}\d{3}[ .\-\u00a0]\d{4}(?!\d)")
+GROUPED = re.compile(r"[2-9]\d{2}[ .\-\u00a0][2-9]\d{2}[ .\-\u00a0]\d{4}(?!\d)")
+COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|2[1-69]\d|3[578]\d|42\d|5[09]\d|6[7-9]\d|8[05-8]\d|9[679]\d")
+SPLIT_CARD = re.compile(r"\d{4}([ \-])\d{6}\1\d{4,5}(?!\d)")
 SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 _TITLES = [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]
 NAME = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\b\.? ((?:[^\W\d_][\w'’\-]* ?){1,3})")
@@ -161,6 +167,35 @@ def _name_parts(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
             yield start, start + len(word), f"surname_{script}_u", canon
 
 
+def _phones(text: str) -> Iterator[tuple[int, int]]:
+    """Where phone numbers lie, without their country codes."""
+    if "-" in text or "+" in text:
+        for m in PHONE.finditer(text):
+            yield m.end(1) if m.group(1) else m.start(), m.end()
+    if "+" in text:
+        for m in INTERNATIONAL.finditer(text):
+            ends = [m.start(1) + g.end() for g in re.finditer(r"\d+", m.group(1))]
+            head = text[m.start(1) : ends[0]]
+            code = COUNTRY.match(head)
+            if not code or (len(head) < 4 and code.end() < len(head)):
+                continue
+            start, n, end = m.start(1) + code.end(), 0, 0
+            # groups as long as they can be part of the number: what follows it isn't
+            for at in ends:
+                n = sum(c.isdigit() for c in text[start:at])
+                if n <= (10 if code.group() in "17" else 13 - code.end()) or at == ends[0]:
+                    end = at
+            n = sum(c.isdigit() for c in text[start:end])
+            if 8 <= n + code.end() <= 15 and (code.group() not in "17" or n == 10):
+                yield start, end
+    if "(" in text:
+        for m in BRACKETED.finditer(text):
+            yield m.span()
+    for m in GROUPED.finditer(text):
+        if not m.start() or not (text[m.start() - 1].isdigit() or text[m.start() - 1] == "+"):
+            yield m.span()
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the entities of a text, apart and in order."""
     got: list[tuple[int, int, str, str]] = []
@@ -176,12 +211,16 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in IP.finditer(text):
             if all(int(x) < 256 for x in m.groups()):
                 got.append((*m.span(), "ip", ".".join(str(int(x)) for x in m.groups())))
+        phones = list(_phones(text))
+        got += [(a, z, "phone", re.sub(r"\D", "", text[a:z])) for a, z in phones]
         for m in CARD.finditer(text):
-            got.append((*m.span(), "card", re.sub(r"\D", "", m.group())))
-        if "-" in text or "+" in text:
-            for m in PHONE.finditer(text):
-                start = m.end(1) if m.group(1) else m.start()
-                got.append((start, m.end(), "phone", re.sub(r"\D", "", text[start : m.end()])))
+            if not (text[max(0, m.start() - 1) : m.start()] == "+" and any(m.start() < a and z == m.end() for a, z in phones)):
+                got.append((*m.span(), "card", re.sub(r"\D", "", m.group())))
+        for m in SPLIT_CARD.finditer(text):
+            d = re.sub(r"\D", "", m.group())
+            if not text[max(0, m.start() - 1) : m.start()].isdigit() and not _luhn(d):
+                got.append((*m.span(), "card", d))
+        if "-" in text:
             got += [(*m.span(), "ssn", re.sub(r"\D", "", m.group())) for m in SSN.finditer(text)]
     if any(t in text for t in _TITLES):
         for m in NAME.finditer(text):

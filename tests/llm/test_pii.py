@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from pathledger.llm import pii
 
 from .helpers import documents, empty
@@ -50,3 +52,32 @@ def test_documents_keep_rows_and_columns(spark, monkeypatch):
     mails = [t for i, t in plain if i and 320 <= i < 332]
     assert len(set(mails)) == 12
     assert pii.pseudonymise(empty(spark)).count() == 0
+
+
+PHONES = ["+14155552671", "+1 415 555 2671", "+1-415-555-2671", "+1 (415) 555-2671", "+1(415)555-2671", "415.555.2671", "415 555 2671", "415-555-2671", "(415) 555-2671", "(415)555-2671", "(415) 555 2671"]
+
+
+@pytest.mark.parametrize("seen", PHONES)
+def test_each_form_of_a_phone_number_has_the_same_surrogate(seen):
+    new = pii.surrogate("phone", "4155552671", 0)
+    text, n = pii.replace(f"call {seen}, or 2 of us")
+    assert n == 1 and re.sub(r"\D", "", text) == ("1" if "+" in seen else "") + new + "2"
+    assert re.sub(r"\d", "0", text) == re.sub(r"\d", "0", f"call {seen}, or 2 of us")
+
+
+@pytest.mark.parametrize(("seen", "code"), [("+49 30 1234567", "49"), ("+49301234567", "49"), ("+4915112345678", "49"), ("+33 1 42 68 53 00", "33"), ("+33.1.42.68.53.00", "33"), ("+44 20 7946 0958", "44"), ("+44 (0)20 7946 0958", "44"), ("+354 555 1234", "354"), ("+3545551234", "354")])
+def test_numbers_of_other_countries_keep_the_country_code(seen, code):
+    assert [(k, c) for _, _, k, c in pii.find(f"call {seen}.")] == [("phone", re.sub(r"\D", "", seen)[len(code) :])]
+    assert pii.replace(f"call {seen}.")[0].startswith(f"call +{code}")
+
+
+@pytest.mark.parametrize("seen", ["3782 822463 10005", "3782-822463-10005", "378282246310005"])
+def test_cards_in_groups_of_4_6_5(seen):
+    assert [x[2:] for x in pii.find(f"card {seen} now")] == [("card", "378282246310005")]
+    text = pii.replace(f"card {seen} now")[0]
+    assert seen not in text and pii._luhn(re.sub(r"\D", "", text)) == 0
+
+
+@pytest.mark.parametrize("text", ["1 234 567 and +12 345 678", "3782 822463 10006", "100 200 3000", "3.141.5926", "2024-01-02 10:30", "+5.25 % of 1000", "15 000 000 in 2024", "12 415 5552671", "version 4.15.555"])
+def test_clean_numbers_stay(text):
+    assert pii.find(text) == []

@@ -6,9 +6,9 @@ result has a row for each rendered turn with its character offsets inside its pa
 that is trained on: what assistants say in completions, with the end mark. Conversations of
 any length stay spread over rows: places and offsets come from sums over blocks of turns.
 
-Null text and role count as ''. Null turns come first. Exact repeats of a turn (same
+A turn without a pair (null pair_id or conv_id) belongs to no conversation and gives no row. Null text and role count as ''. Null turns come first. Exact repeats of a turn (same
 number, role and text) count once; other ties go by role, then text. A side without turns
-gives no completion. Marks of the template inside texts are broken up, so texts can't forge turns.
+gives no completion. Very long texts stay whole; columns other than those named aren't read. No turns: no rows. Marks of the template inside texts are broken up, so texts can't forge turns.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Turns in a block: the most that one window sorts, but for ties of a turn number.
 BLOCK = 1024
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
@@ -44,6 +46,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     first = F.lit(-(2**62)).cast("long")
     rows = turns.filter("pair_id is not null").select("pair_id", "side", F.coalesce(F.col("turn").cast("long"), first).alias("turn"), blank("role"), blank("text")).distinct()
     rows = _places(rows, ["pair_id", "side"], F.floor(F.col("turn") / BLOCK), ["turn", "role", "text"], F.lit(1).cast("long"), "place")
+    rows = cut(rows)  # read by the comparison and by the split
     turn = F.struct("role", "text")
     met = rows.groupBy("pair_id", "place").agg(F.count(F.lit(1)).alias("sides"), (F.min(turn) == F.max(turn)).alias("same"))
     split = met.groupBy("pair_id").agg(F.min(F.when((F.col("sides") < 2) | ~F.col("same"), F.col("place"))).alias("split"))
@@ -54,6 +57,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     plain = lambda c: F.replace(F.col(c), F.lit("<|"), F.lit("< |"))
     head = F.concat(F.lit(OPEN), plain("role"), F.lit(CLOSE))
     rows = rows.withColumn("head", F.length(head).cast("long")).withColumn("rendered", F.concat(head, plain("text"), F.lit(END)))
+    rows = cut(rows.select("pair_id", "part", "seq", "role", "head", "rendered"))  # read for the sums of blocks and for the rows
     rows = _places(rows, ["pair_id", "part"], F.floor(F.col("seq") / BLOCK), ["seq"], F.length("rendered").cast("long"), "char_start")
     trained = (F.col("part") != "prompt") & (F.col("role") == "assistant")
     end = F.col("char_start") + F.length("rendered")

@@ -1,13 +1,15 @@
 """Shards of near-equal bytes by histogram sort.
 
-Rows have the order of (hash of the text, doc_id), so equal texts lie together and are
+Rows have the order of (hash of the text, doc_id, place of the row), so equal texts lie together and are
 parted only where a limit has to fall among them. The limits between shards are found by
 rounds: each round counts, in one pass and exactly, the bytes below a fixed number of candidate keys;
 then every limit keeps the two candidates around its target and probes between them.
-It ends when each limit is within tolerance, or no key lies between. Then rows move once.
+It ends when each limit is within tolerance, or no key lies between. Then rows move once, in ranges of their
+order: a row's slot is its place in its range after the counts of the ranges before.
 
-Rows with the same text and doc_id can't be parted. Null texts have no bytes (size 1) and
-hash as an empty group of their own; null doc_ids come first. No rows: no shards.
+Rows with the same text and doc_id differ by their place alone, so any of them can be parted. Null texts have no bytes (size 1) and
+hash as an empty group of their own; null doc_ids come first. Long texts don't move, only their hashes and sizes; columns other than
+doc_id and text aren't read, so their names can't clash. No rows: no shards.
 """
 
 from __future__ import annotations
@@ -24,24 +26,42 @@ SHARDS = 8
 PROBES = 7
 #: A limit may be off by this share of a shard's bytes.
 TOLERANCE = 0.001
-#: Rows that are put in order together within a shard, on average.
+#: Rows that are put in order together, on average; no result depends on it.
 PART_ROWS = 100_000
 _HALF, _SPAN = 1 << 63, 1 << 64
+KEY = ["k1", "k2", "k3"]
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and the two parts of the key for every row of docs."""
+    """doc_id, size, text_crc32 and the three parts of the key for every row of docs; hold it before use,
+    as the place of a row (k3) is fixed then."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("k1"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-_HALF)).alias("k2"),
+        F.monotonically_increasing_id().alias("k3"),
     )
 
 
-def _parts(key: int) -> tuple[int, int]:
-    return key // _SPAN - _HALF, key % _SPAN - _HALF
+def _parts(key: int) -> list[int]:
+    return [key // _SPAN ** (len(KEY) - 1 - i) % _SPAN - _HALF for i in range(len(KEY))]
+
+
+def _whole(parts: tuple[int, ...]) -> int:
+    out = 0
+    for p in parts:
+        out = out * _SPAN + p + _HALF
+    return out
+
+
+def _below(key: int) -> Column:
+    """Whether a row's key is less than this one."""
+    out = F.lit(False)
+    for name, p in reversed(list(zip(KEY, _parts(key), strict=True))):
+        out = (F.col(name) < p) | ((F.col(name) == p) & out)
+    return out
 
 
 def _interval(keys: list[int]) -> Column:
@@ -50,8 +70,7 @@ def _interval(keys: list[int]) -> Column:
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
-        a, b = _parts(keys[mid])
-        return F.when((F.col("k1") < a) | ((F.col("k1") == a) & (F.col("k2") < b)), side(low, mid)).otherwise(side(mid + 1, high))
+        return F.when(_below(keys[mid]), side(low, mid)).otherwise(side(mid + 1, high))
 
     return side(0, len(keys))
 
@@ -59,28 +78,29 @@ def _interval(keys: list[int]) -> Column:
 def find_limits(rows: DataFrame, shards: int = SHARDS, probes: int = PROBES, tolerance: float = TOLERANCE) -> tuple[list[int], int]:
     """shards - 1 rising keys, each the first of its shard, and the number of rounds taken.
 
-    rows: k1, k2 and size. Only sums for each interval between candidates come to the driver.
+    rows: KEY and size. Only sums for each interval between candidates come to the driver.
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     if not total:
         return [0] * (shards - 1), 0
     targets = [total * i / shards for i in range(1, shards)]
     near = tolerance * total / shards
-    low, high = [0] * len(targets), [_SPAN * _SPAN] * len(targets)  # bytes below low <= target < bytes below high
-    below: dict[int, int] = {0: 0, _SPAN * _SPAN: total}
+    top = _SPAN ** len(KEY)
+    low, high = [0] * len(targets), [top] * len(targets)  # bytes below low <= target < bytes below high
+    below: dict[int, int] = {0: 0, top: total}
     rounds = 0
     while True:
         open_ = [i for i, t in enumerate(targets) if high[i] - low[i] > 1 and min(t - below[low[i]], below[high[i]] - t) > near]
         if not open_:
             break
         rounds += 1
-        keys = sorted({low[i] + (high[i] - low[i]) * k // (probes + 1) for i in open_ for k in range(probes + 2)} - {0, _SPAN * _SPAN})
-        got = rows.groupBy(_interval(keys).alias("i")).agg(F.sum("size").alias("b"), F.min(F.struct("k1", "k2")).alias("lo"), F.max(F.struct("k1", "k2")).alias("hi")).collect()
+        keys = sorted({low[i] + (high[i] - low[i]) * k // (probes + 1) for i in open_ for k in range(probes + 2)} - {0, top})
+        got = rows.groupBy(_interval(keys).alias("i")).agg(F.sum("size").alias("b"), F.min(F.struct(*KEY)).alias("lo"), F.max(F.struct(*KEY)).alias("hi")).collect()
         sums = [0] * (len(keys) + 1)
         ends: list[int] = []
         for r in got:
             sums[r["i"]] = r["b"]
-            ends += [(p[0] + _HALF) * _SPAN + p[1] + _HALF for p in (r["lo"], r["hi"])]
+            ends += [_whole(r["lo"]), _whole(r["hi"])]
         run = 0
         for key, b in zip(keys, sums, strict=False):
             run += b
@@ -106,18 +126,17 @@ def find_limits(rows: DataFrame, shards: int = SHARDS, probes: int = PROBES, tol
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, probes: int = PROBES) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard) for every row of docs.
-
-    The one exchange of rows deals each shard in parts; a row's slot is its place in its
-    part after the counts of the parts before.
-    """
+    """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard, in the order of keys) for every row of docs."""
     rows = cut(rows_of(docs))
     limits, _ = find_limits(rows, shards, probes, tolerance)
-    parts = max(1, rows.count() // (shards * PART_ROWS) + 1)
-    rows = rows.withColumn("shard", _interval(limits).cast("int")).withColumn("part", F.pmod(F.xxhash64("k2", "k1"), F.lit(parts)))
-    counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
-    run = F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
-    starts = F.broadcast(counts.select("shard", "part", (run - F.col("n")).alias("start"))) if shards * parts <= 100_000 else counts.select("shard", "part", (run - F.col("n")).alias("start"))
-    place = F.row_number().over(Window.partitionBy("shard", "part").orderBy("k1", "k2"))
-    got = rows.withColumn("place", place).join(starts, ["shard", "part"])
-    return got.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("place") - 1).cast("long").alias("slot"))
+    ranges = max(shards, rows.count() // PART_ROWS + 1)
+    rows = rows.withColumn("shard", _interval(limits).cast("int"))
+    # the one exchange: the place in the sorted range is the low part of the number that each row gets there
+    placed = cut(rows.repartitionByRange(ranges, *KEY).sortWithinPartitions(*KEY).withColumn("at", F.monotonically_increasing_id()))
+    place = placed.withColumn("range", F.shiftright("at", 33)).withColumn("own", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = place.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("low"))
+    # a row for each range and shard: as many as there are ranges and shards together, at most
+    run = F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    starts = counts.select("shard", "range", (run - F.col("n") - F.col("low")).alias("start"))
+    got = place.join(F.broadcast(starts) if ranges + shards <= 100_000 else starts, ["shard", "range"])
+    return got.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("own")).cast("long").alias("slot"))

@@ -111,3 +111,34 @@ def test_shards_are_near_equal_and_gapless(spark):
 def test_few_rows_still_shard(spark):
     docs = documents(spark).filter("doc_id in (106, 107)")
     assert sharding.shard(docs).count() == 3
+
+
+def _brute_shards(spark, docs, shards):
+    """Rows in the order of keys; the limits nearest to equal bytes that a sort of everything finds."""
+    keys = sorted((r["k1"], r["k2"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in sharding.rows_of(docs).collect())
+    sums, out, starts = [0], [], {}
+    for k in keys:
+        sums.append(sums[-1] + k[4])
+    limits = [min(range(len(sums)), key=lambda i: (abs(sums[i] - sums[-1] * t / shards), i)) for t in range(1, shards)]
+    for i, k in enumerate(keys):
+        shard = sum(i >= x for x in limits)
+        starts.setdefault(shard, i)
+        out.append((k[3] if k[2] else None, k[4], k[5], shard, i - starts[shard]))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("part_rows", [100_000, 37, 5])
+def test_shards_equal_a_sort_of_everything(spark, part_rows, monkeypatch):
+    """Whatever the number of ranges: order, sizes and slots."""
+    monkeypatch.setattr(sharding, "PART_ROWS", part_rows)
+    rng = random.Random(4)
+    rows = [(2000 + i, "y" * rng.randint(0, 90), "en", "s", 1) for i in range(150)] + [(5000 + i, "copies of one text", "en", "s", 1) for i in range(90)]
+    docs = documents(spark, rows).filter("doc_id is null or doc_id <> 105")
+    got = sorted((tuple(r) for r in sharding.shard(docs, tolerance=0.0).collect()), key=str)
+    assert got == _brute_shards(spark, docs, 8)
+
+
+def test_equal_rows_without_ids_are_parted(spark):
+    docs = spark.createDataFrame([(None, "the same")] * 1000, "doc_id long, text string")
+    got = sharding.shard(docs).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [125] * 8

@@ -1,37 +1,37 @@
 """Quality rules with risk-controlled thresholds; DataFrame functions only.
 
 Each rule compares a signal of a text with a cutoff and rejects above it. Cutoffs come from
-fixed grids, so the labelled documents are all holdout. For each stratum (language) and
-each rule the tightest cutoff is taken whose false-rejection rate on good documents is
-certified: with n good documents of which k lie above the cutoff, the exact binomial tail
-P(X <= k | n, alpha / rules) has to be at most delta / tests. The share alpha is split among
-the rules and delta among all (stratum, rule, cutoff) tests (Bonferroni), so with probability
-1 - delta no stratum loses more than alpha of its good documents to all its rules together.
-Rules without a certified cutoff reject nothing.
-
-The query op10 follows its oracle: languages beyond the MAX_STRATA best labelled take cutoffs pooled over
-all. The pipeline certifies every language by itself, and one without a certificate rejects by the base rule alone.
+fixed grids, so the labelled documents are all holdout. The cutoffs of all rules form one fixed path, from the loosest of each rule to
+the tightest; after some of its steps, every rule rejects by the tightest of its cutoffs so far. For each stratum (language) the path is
+followed by fixed-sequence testing: a step counts as certified if, of the n good documents that pass the base rule, the k that this and the steps
+before reject give an exact binomial tail P(X <= k | n, alpha) of at most delta / strata. No step after one that fails is taken, so the
+steps need no share of delta; the strata do (Bonferroni), those with enough good documents for any certificate. So with probability
+1 - delta no stratum loses more than alpha of its good documents that pass the base rule; what the base rule rejects is fixed by
+its own law and isn't counted. A stratum without a certificate rejects by the base rule alone.
+
+Null texts count as empty; null strata are the stratum ''. Repeated rows and null doc_ids are judged row by row. A text's windows lie in one row as an
+array of longs (8 bytes a word, more while they are sorted), so a text has to fit a task's memory a few times over. Rows with other columns of
+any name keep them. Empty tables give empty results; without labels the base rule alone decides.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, cut, fresh, words
+from .common import BLANKS, cut, fresh, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 ALPHA = 0.05
 DELTA = 0.05
-#: In op10 more languages than this share one pooled stratum; it bounds the table of cutoffs.
-MAX_STRATA = 64
+#: Fewer good documents than this can't be certified for anything, even alone.
+MIN_GOOD = math.ceil(math.log(DELTA) / math.log1p(-ALPHA))
 #: More strata with cutoffs than this are joined instead of broadcast.
 BROADCAST_STRATA = 20_000
-POOLED = "*"
 #: Rejected above; each a share of the words, or of the letters for capitals.
 GRIDS: dict[str, list[float]] = {
     "symbol_share": [0.02, 0.05, 0.1, 0.2, 0.4, 0.8],
@@ -39,6 +39,8 @@ GRIDS: dict[str, list[float]] = {
     "repeat_share": [0.1, 0.2, 0.3, 0.4],
     "capital_share": [0.1, 0.15, 0.2, 0.3, 0.5],
 }
+#: The fixed path: the loosest cutoff of each rule, then the next ones.
+PATH: list[tuple[str, float]] = [(r, sorted(cs, reverse=True)[i]) for i in range(max(map(len, GRIDS.values()))) for r, cs in GRIDS.items() if i < len(cs)]
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals"]
 
 
@@ -105,74 +107,58 @@ def _signals() -> dict[str, Column]:
     }
 
 
-def choose_cutoffs(good: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, grids: dict[str, list[float]] = GRIDS, max_strata: int | None = MAX_STRATA) -> DataFrame:
-    """Cutoffs from the counts of good documents: stratum and one column for each rule (null:
-    nothing certified). At most max_strata strata and the pooled one, so the table is small; with None all
-    strata and no pooled one.
+def first_step(path: list[tuple[str, float]] = PATH) -> Column:
+    """The first step of the path that rejects a row, by its counts; the path's length if none does."""
+    sig = _signals()
+    return F.coalesce(*[F.when(sig[r] > c, F.lit(i)) for i, (r, c) in enumerate(path)], F.lit(len(path)))
 
-    good: one row for each labelled good document (copies once, they aren't independent), with
-    ``stratum`` and the counts. Null strata are the stratum ''. Without good rows, no cutoffs.
+
+def certified_steps(good: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, path: list[tuple[str, float]] = PATH) -> DataFrame:
+    """stratum, n, most (of n that may be rejected; -1: nothing certified) and steps, how many steps of the path hold.
+
+    good: one row for each labelled good document that passes the base rule (copies once, they aren't
+    independent), with ``stratum`` and the counts. Strata of fewer than MIN_GOOD rows aren't tested. Without good rows, no strata.
     """
-    alpha_rule = alpha / len(grids)
-    grid = [(r, j, c) for r, cs in grids.items() for j, c in enumerate(sorted(cs))]
-    sig = good.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *[s.alias(k) for k, s in _signals().items() if k in grids])
-    above = [F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{j}") for r, j, c in grid]
-    per = sig.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *above)
-    if max_strata is None:
-        both = cut(per)
-        tests = F.lit(both.count() * len(grid))
-    else:
-        largest = per.orderBy(F.desc("n"), "stratum").limit(max_strata)
-        both = largest.unionByName(sig.agg(F.lit(POOLED).alias("stratum"), F.count(F.lit(1)).alias("n"), *above)).filter("n > 0")
-        tests = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))) * len(grid)
+    rows = good.select(F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), first_step(path).alias("first"))
+    at = [F.sum((F.col("first") <= i).cast("long")).alias(f"k{i}") for i in range(len(path))]
+    per = cut(rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *at).filter(F.col("n") >= MIN_GOOD))
+    level = math.log(delta / max(1, per.count()))
     state = lambda lt, ls, best: F.struct(lt.alias("lt"), ls.alias("ls"), best.alias("best"))
 
     def more(a: Column, i: Column) -> Column:
-        lt = a.lt + F.log((F.col("n") - i + 1) / i) + math.log(alpha_rule / (1 - alpha_rule))
+        lt = a.lt + F.log((F.col("n") - i + 1) / i) + math.log(alpha / (1 - alpha))
         top = F.greatest(lt, a.ls)
         ls = top + F.log1p(F.exp(F.least(lt, a.ls) - top))
-        return state(lt, ls, F.when(ls <= F.col("level"), i).otherwise(a.best))
+        return state(lt, ls, F.when(ls <= level, i).otherwise(a.best))
 
-    first = F.col("n") * math.log1p(-alpha_rule)
+    none = F.col("n") * math.log1p(-alpha)
     most = F.aggregate(
-        F.sequence(F.lit(1).cast("long"), F.greatest((F.col("n") * alpha_rule).cast("long"), F.lit(1).cast("long"))),
-        state(first, first, F.when(first <= F.col("level"), F.lit(0).cast("long")).otherwise(F.lit(-1).cast("long"))),
+        F.sequence(F.lit(1).cast("long"), F.greatest((F.col("n") * alpha).cast("long"), F.lit(1).cast("long"))),
+        state(none, none, F.when(none <= level, F.lit(0).cast("long")).otherwise(F.lit(-1).cast("long"))),
         more,
         lambda a: a.best,
     )
-    got = both.withColumn("level", F.log(F.lit(delta) / tests)).withColumn("most", most)
-    rule = lambda r: F.coalesce(*[F.when(F.col(f"{r}_{j}") <= F.col("most"), F.lit(c)) for q, j, c in grid if q == r]).alias(r)
-    return got.select("stratum", "n", "most", *[rule(r) for r in grids])
+    # counts rise along the path, so the steps that hold are the first ones
+    holds = F.array(*[F.col(f"k{i}") <= F.col("most") for i in range(len(path))])
+    return per.withColumn("most", most).select("stratum", "n", "most", F.size(F.filter(holds, lambda h: h)).alias("steps"))
 
 
-def apply_cutoffs(counted: DataFrame, cutoffs: DataFrame, stratum: Column, rules: list[str] | None = None, pooled: bool = True) -> DataFrame:
-    """counted with ``kept``: false if the base rule or any certified cutoff rejects the row.
-    Rows of strata without cutoffs of their own take the pooled ones; with pooled false none, and
-    the table of cutoffs can have any size."""
-    rules = rules or list(GRIDS)
+def apply_steps(counted: DataFrame, certified: DataFrame, stratum: Column, path: list[tuple[str, float]] = PATH) -> DataFrame:
+    """counted with ``kept``: false if the base rule or a certified step of its stratum rejects the row.
+    The table of strata can have any size."""
     taken = counted.columns
-    key, own, pool = (fresh(n, taken) for n in ("_stratum", "_own", "_pool"))
-    pair = F.struct(*[F.col(r) for r in rules])
-    out = counted.withColumn(key, F.coalesce(stratum, F.lit("")))
-    if pooled:
-        small = F.broadcast(cutoffs.filter(F.col("stratum") != POOLED).select(F.col("stratum").alias(key), pair.alias(own)))
-        rest = F.broadcast(cutoffs.filter(F.col("stratum") == POOLED).select(pair.alias(pool)))
-        out = out.join(small, key, "left").join(rest, F.lit(True), "left")
-    else:
-        own_ones = cutoffs.filter(F.coalesce(*[F.col(r) for r in rules]).isNotNull()).select(F.col("stratum").alias(key), pair.alias(own))
-        few = own_ones.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
-        out = out.join(F.broadcast(own_ones) if few else own_ones, key, "left")
-    bad = F.lit(False)
-    for r in rules:
-        limit = F.when(F.col(own).isNotNull(), F.col(f"{own}.{r}")).otherwise(F.col(f"{pool}.{r}")) if pooled else F.col(f"{own}.{r}")
-        bad = bad | F.coalesce(_signals()[r] > limit, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop(key, own, pool)
-
-
-def good_documents(counted: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", text: str = "text") -> DataFrame:
-    """Counts of the distinct texts whose documents all labels call good (quality 1, not toxic)."""
+    key, own = (fresh(n, taken) for n in ("_stratum", "_steps"))
+    some = certified.filter("steps > 0").select(F.col("stratum").alias(key), F.col("steps").alias(own))
+    few = some.limit(BROADCAST_STRATA + 1).count() <= BROADCAST_STRATA
+    out = counted.withColumn(key, F.coalesce(stratum, F.lit(""))).join(F.broadcast(some) if few else some, key, "left")
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(first_step(path) < F.col(own), F.lit(False))).drop(key, own)
+
+
+def good_documents(counted: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang") -> DataFrame:
+    """Counts of the distinct texts of each stratum that pass the base rule and whose documents all labels call good (quality 1, not toxic)."""
     ok = labels.groupBy(F.col("doc_id").alias("_id")).agg((F.min(F.coalesce("quality", F.lit(0))) >= 1).alias("_good"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic")).filter("_good and _toxic = 0")
-    return counted.join(ok, counted[key] == ok["_id"], "left_semi").groupBy(F.col("text_hash"), F.col(stratum).alias("lang")).agg(*[F.first(c).alias(c) for c in BASE])
+    rows = counted.filter("not base_failed").select(F.col(key).alias("_id"), "text_hash", F.coalesce(F.col(stratum), F.lit("")).alias("lang"), *BASE)
+    return rows.join(ok, "_id", "left_semi").groupBy("text_hash", "lang").agg(*[F.first(c).alias(c) for c in BASE])
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -183,16 +169,15 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     c = quality_counts(docs)
     c = cut(c.select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), F.xxhash64("row.text").alias("text_hash"), *BASE, "base_failed"))
-    cutoffs = choose_cutoffs(good_documents(c, labels))
-    return apply_cutoffs(c, cutoffs, F.col("lang"))
+    return apply_steps(c, certified_steps(good_documents(c, labels)), F.col("lang"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that pass, with the columns of docs.
 
-    The texts aren't moved: counts are taken again where the texts lie, rather than joined.
+    Counts are taken once and held beside the rows, so that texts are neither counted again nor shuffled.
     """
     c = quality_counts(docs)
-    held = cut(c.select(F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), F.xxhash64("row.text").alias("text_hash"), *BASE))
-    cutoffs = cut(choose_cutoffs(good_documents(held, labels), max_strata=None))
-    return apply_cutoffs(c, cutoffs, F.col("row.lang"), pooled=False).filter("kept").select("row.*")
+    held = written(c.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.lang").alias("lang"), F.xxhash64("row.text").alias("text_hash"), *BASE, "base_failed"))
+    certified = cut(certified_steps(good_documents(held, labels)))
+    return apply_steps(held, certified, F.col("lang")).filter("kept").select("row.*")

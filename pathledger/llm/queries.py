@@ -93,34 +93,26 @@ WITH d AS (
          coalesce(n_symbols::DOUBLE / nullif(n_words, 0), 0) AS symbol_share, coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_share,
          coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_share, coalesce(n_capitals::DOUBLE / nullif(word_chars, 0), 0) AS capital_share
   FROM c
-), rules AS (
-  {" UNION ALL ".join(f"SELECT '{r}' AS rule, CAST({c} AS DOUBLE) AS cutoff" for r, cs in quality.GRIDS.items() for c in cs)}
+), firsts AS (
+  SELECT *, CASE {" ".join(f"WHEN {r} > CAST({c} AS DOUBLE) THEN {i}" for i, (r, c) in enumerate(quality.PATH))} ELSE {len(quality.PATH)} END AS first FROM s
 ), good AS (
-  SELECT DISTINCT ON (stratum, t) * FROM s WHERE doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) >= 1 AND max(coalesce(toxic, 0)) = 0)
+  SELECT DISTINCT ON (stratum, t) stratum, first FROM firsts
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(coalesce(quality, 0)) >= 1 AND max(coalesce(toxic, 0)) = 0)
 ), strata AS (
-  (SELECT stratum, count(*) AS n FROM good GROUP BY stratum ORDER BY n DESC, stratum LIMIT {quality.MAX_STRATA})
-  UNION ALL SELECT '{quality.POOLED}', count(*) FROM good HAVING count(*) > 0
-), level AS (
-  SELECT ln(CAST({quality.DELTA} AS DOUBLE) / ((SELECT count(*) FROM strata) * (SELECT count(*) FROM rules))) AS lv, CAST({quality.ALPHA} AS DOUBLE) / {len(quality.GRIDS)} AS a
+  SELECT stratum, count(*) AS n FROM good GROUP BY stratum HAVING count(*) >= {quality.MIN_GOOD}
 ), terms AS (
-  SELECT stratum, n, i, a, lv, n * ln(1 - a) + sum(CASE WHEN i = 0 THEN 0 ELSE ln((n - i + 1)::DOUBLE / i) + ln(a / (1 - a)) END) OVER (PARTITION BY stratum ORDER BY i) AS lt
-  FROM (SELECT *, unnest(range(0, greatest(CAST(floor(n * a) AS BIGINT), 1) + 1)) AS i FROM strata, level)
+  SELECT stratum, n, i, n * ln(1 - a) + sum(CASE WHEN i = 0 THEN 0 ELSE ln((n - i + 1)::DOUBLE / i) + ln(a / (1 - a)) END) OVER (PARTITION BY stratum ORDER BY i) AS lt
+  FROM (SELECT stratum, n, CAST({quality.ALPHA} AS DOUBLE) AS a, unnest(range(0, greatest(CAST(floor(n * CAST({quality.ALPHA} AS DOUBLE)) AS BIGINT), 1) + 1)) AS i FROM strata)
 ), tail AS (
-  SELECT *, ln(greatest(sum(exp(lt)) OVER (PARTITION BY stratum ORDER BY i), 1e-300)) AS ls FROM terms
+  SELECT stratum, i, ln(greatest(sum(exp(lt)) OVER (PARTITION BY stratum ORDER BY i), 1e-300)) AS ls FROM terms
 ), most AS (
-  SELECT stratum, coalesce(max(i) FILTER (ls <= lv), -1) AS most FROM tail GROUP BY stratum
-), above AS (
-  SELECT m.stratum, rule, cutoff, most, count(*) FILTER (
-    CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share WHEN 'repeat_share' THEN repeat_share ELSE capital_share END > cutoff) AS k
-  FROM most m JOIN good g ON m.stratum = g.stratum OR m.stratum = '{quality.POOLED}', rules GROUP BY ALL
-), cuts AS (
-  SELECT stratum, rule, min(cutoff) FILTER (k <= most) AS cutoff FROM above GROUP BY ALL
-), verdict AS (
-  SELECT s.doc_id, bool_or(CASE rule WHEN 'symbol_share' THEN symbol_share WHEN 'dup_line_share' THEN dup_line_share WHEN 'repeat_share' THEN repeat_share ELSE capital_share END > cutoff) AS bad
-  FROM s JOIN cuts ON cuts.stratum = CASE WHEN s.stratum IN (SELECT stratum FROM strata) THEN s.stratum ELSE '{quality.POOLED}' END GROUP BY s.doc_id
+  SELECT stratum, coalesce(max(i) FILTER (ls <= ln(CAST({quality.DELTA} AS DOUBLE) / (SELECT count(*) FROM strata))), -1) AS most FROM tail GROUP BY stratum
+), steps AS (
+  SELECT stratum, count(*) FILTER (k <= most) AS steps
+  FROM (SELECT m.stratum, most, step, count(*) FILTER (first <= step) AS k FROM most m JOIN good USING (stratum), range({len(quality.PATH)}) r(step) GROUP BY ALL) GROUP BY stratum
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(bad, false) AS kept
-FROM s LEFT JOIN verdict USING (doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND first >= coalesce(steps, 0) AS kept
+FROM firsts LEFT JOIN steps USING (stratum)
 """
 
 ORACLES["op1_length_buckets"] = rf"""

@@ -31,17 +31,40 @@ def test_counts_against_brute_force(spark):
         assert r["base_failed"] == (b[0] < 50 or 100 * b[4] > 50 * b[0])
 
 
-def test_certified_cutoffs_hold_the_exact_bound(spark):
-    rows = [("en", 0.0)] * 2000 + [("en", 0.3)] * 5 + [("fr", 0.3)] * 40
-    good = spark.createDataFrame([(lang, 100, 500, int(100 * s), 0, 0, 10, 0) for lang, s in rows], "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long")
-    got = {r["stratum"]: r for r in quality.choose_cutoffs(good).collect()}
-    a, tests = quality.ALPHA / 4, 3 * sum(map(len, quality.GRIDS.values()))
-    tail = lambda k, n: sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(a) + (n - i) * math.log(1 - a)) for i in range(k + 1))
-    for s, n in (("en", 2005), ("*", 2045)):
+COUNTS = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long"
+
+
+def tail(k, n, a=quality.ALPHA):
+    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(a) + (n - i) * math.log(1 - a)) for i in range(k + 1))
+
+
+def test_certified_steps_hold_the_exact_bound(spark):
+    rows = [("en", 0.0)] * 2000 + [("en", 0.3)] * 70 + [("en", 0.07)] * 40 + [("fr", 0.3)] * 40 + [(None, 0.0)] * 90
+    good = spark.createDataFrame([(lang, 100, 500, int(100 * s), 0, 0, 10, 0) for lang, s in rows], COUNTS)
+    got = {r["stratum"]: r for r in quality.certified_steps(good).collect()}
+    assert set(got) == {"en", ""}  # French has too few to certify anything
+    for s, n in (("en", 2110), ("", 90)):
         most = got[s]["most"]
-        assert tail(most, n) <= quality.DELTA / tests < tail(most + 1, n)
-    assert got["en"]["symbol_share"] == 0.02  # 5 of 2005 above it
-    assert got["fr"]["symbol_share"] is None and got["fr"]["most"] == -1  # too few to certify anything
+        assert tail(most, n) <= quality.DELTA / 2 < tail(most + 1, n)
+    held = quality.PATH[: got["en"]["steps"]]
+    # 70 of 2110 above 0.2 are certified, 110 above 0.05 are not: the path ends before that step
+    assert ("symbol_share", 0.2) in held and quality.PATH[len(held)] == ("symbol_share", 0.05)
+    assert got[""]["steps"] == len(quality.PATH)
+
+
+def test_base_failures_are_not_charged_and_copies_count_once(spark):
+    rng = random.Random(8)
+    fine = [(i, prose(rng, 60), "en" if i % 2 else "", "s", 1) for i in range(160)]
+    copies = [(1000 + i, fine[0][1] + " # # # # # # # # # #", None, "s", 1) for i in range(60)]
+    short = [(2000 + i, "too short %d" % i, "en", "s", 1) for i in range(200)]
+    docs = documents(spark, fine + copies + short)
+    some = labels(spark, [(r[0], 1, 0) for r in fine + copies + short])
+    c = quality.quality_counts(docs).selectExpr("row.doc_id", "row.lang", "xxhash64(row.text) as text_hash", *quality.BASE, "base_failed")
+    good = quality.good_documents(c, some)
+    per = {r["lang"]: r["count"] for r in good.groupBy("lang").count().collect()}
+    assert per["en"] >= 80 and per[""] >= 81 and good.count() == good.select("lang", "text_hash").distinct().count()
+    got = {(r["doc_id"], r["kept"]) for r in quality.judge(docs, some).collect()}
+    assert all((r[0], True) in got for r in fine) and all((r[0], False) in got for r in short)
 
 
 def test_kept_rows_and_empty_tables(spark):
@@ -70,7 +93,7 @@ def test_languages_without_a_certificate_lose_nothing_to_those_with_one(spark, m
 
 
 def test_every_language_is_certified_by_itself(spark):
-    rows = [(f"l{k:03}", 0.0) for k in range(70) for _ in range(1000)]
-    good = spark.createDataFrame([(lang, 100, 500, int(100 * s), 0, 0, 10, 0) for lang, s in rows], "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long")
-    got = quality.choose_cutoffs(good, max_strata=None).collect()
-    assert len(got) == 70 and all(r["symbol_share"] == 0.02 for r in got)
+    rows = [(f"l{k:03}", 0.0) for k in range(70) for _ in range(200)]
+    good = spark.createDataFrame([(lang, 100, 500, int(100 * s), 0, 0, 10, 0) for lang, s in rows], COUNTS)
+    got = quality.certified_steps(good).collect()
+    assert len(got) == 70 and all(r["steps"] == len(quality.PATH) for r in got)

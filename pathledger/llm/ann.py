@@ -6,11 +6,15 @@ of what the search expands (and the node's present edges) an edge is kept to the
 further candidates go if a kept one is nearer to them, by the factor ALPHA, than the node is. Reverse
 edges are added and pruned likewise. Nodes are put in by growing batches, all of a batch at once.
 A query searches each shard's graph with a beam; the beam's nodes are scored exactly, by the
-cosine of the original vectors in double precision, and the best of all shards are kept.
+cosine of the original vectors in double precision, and the best of all shards are kept. Blocks of queries stream past a shard where it
+lies, PIECE_BLOCKS of them past one copy of it, so no join pairs shards with queries. All shards are searched: going only to those with near centroids
+loses too much on vectors without clusters.
 
 Copies of a vector are one node that carries its K + 1 smallest ids, all that an answer can
 need. Vectors that are null, zero, or hold null or non-finite components take no part; those of
-another length are only compared with their like. Fewer candidates than K: all are returned.
+another length are only compared with their like. Rows with a null vec_id take no part either, as no answer could name them. A vec_id
+that repeats with other vectors is one candidate for each of them and asks once for each; none of its rows answers the others.
+Other columns aren't read. Fewer candidates than K: all are returned; no vectors: no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +37,10 @@ DEGREE = 32
 ALPHA = 1.2
 BUILD_BEAM = 48
 SEARCH_BEAM = 96
-#: Queries that are searched together.
-BLOCK = 256
+#: Queries that are searched together, and blocks of them for one copy of a shard.
+BLOCK, PIECE_BLOCKS = 256, 256
+#: More shards than this aren't broadcast by their numbers.
+BROADCAST_SHARDS = 100_000
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -183,37 +190,51 @@ def build_index(vectors: DataFrame, k: int = K, shard_size: int = SHARD_SIZE) ->
 def search_index(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_BEAM, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best of all shards, without itself.
 
-    queries (vec_id, v) go to every shard in blocks; a block's answer from a shard is at most k rows
+    queries (vec_id, v) go to every shard in blocks, behind the shard's own row; a block's answer from a shard is at most k rows
     a query. Blocks are by hash, so none needs an order.
     """
     bounded_batches(index.sparkSession)
     queries = queries.dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v"))
     blocks = max(1, -(-queries.count() // block))
-    packed = queries.groupBy("dim", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    pairs = index.join(packed, "dim").repartition(F.col("shard"), F.col("block")).select("n", "dim", "start", "vectors", "edges", "ids", F.col("q.vec_id").alias("qi"), F.flatten("q.v").alias("qv"))
+    pieces = -(-blocks // PIECE_BLOCKS)
+    number = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
+    packed = queries.groupBy("dim", number.alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    shards = index.groupBy("dim").agg(F.collect_list("shard").alias("shards"))
+    shards = F.broadcast(shards) if index.count() <= BROADCAST_SHARDS else shards
+    asked = packed.join(shards, "dim").select(
+        "dim", F.explode("shards").alias("shard"), (F.col("block") % pieces).alias("piece"), "block", F.col("q.vec_id").alias("qi"), F.flatten("q.v").alias("qv")
+    )
+    own = index.select("dim", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).alias("piece"), F.lit(-1).cast("long").alias("block"), "n", "start", "vectors", "edges", "ids")
+    keys = ["dim", "shard", "piece"]
+    streams = own.unionByName(asked, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = edges = ids = start = unit = None
         for b in batches:
-            for r in b.to_pylist():
-                m = np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"])
-                edges = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1).astype(np.int64)
-                ids = np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1)
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
+                if r["block"] < 0:
+                    m = np.frombuffer(r["vectors"]).reshape(r["n"], r["dim"])
+                    edges = np.frombuffer(r["edges"], np.int32).reshape(r["n"], -1).astype(np.int64)
+                    ids, start, unit = np.frombuffer(r["ids"], np.int64).reshape(r["n"], -1), r["start"], _unit(m)
+                    continue
                 qi, qv = np.asarray(r["qi"], np.int64), np.asarray(r["qv"], np.float64).reshape(-1, r["dim"])
-                out: list[tuple[int, int, float]] = []
-                found = beam_search(_unit(m), edges, r["start"], _unit(qv), max(beam, k + 1))
-                for i in range(len(qi)):
-                    node = found[i][found[i] >= 0]
-                    score = cosine(m[node], qv[i][None, :])
+                out: list[tuple[int, int, float, int]] = []
+                found = beam_search(unit, edges, start, _unit(qv), max(beam, k + 1))
+                for j in range(len(qi)):
+                    node = found[j][found[j] >= 0]
+                    score = cosine(m[node], qv[j][None, :])
                     vec = ids[node]
-                    ok = (vec >= 0) & (vec != qi[i])
+                    ok = (vec >= 0) & (vec != qi[j])
                     s, v = np.broadcast_to(score[:, None], vec.shape)[ok], vec[ok]
                     best = np.lexsort((v, -s))[:k]
-                    out += zip([int(qi[i])] * len(best), v[best].tolist(), s[best].tolist(), strict=True)
-                cols = [list(c) for c in zip(*out, strict=True)] or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
+                    asks = xxhash.xxh64_intdigest(qv[j].tobytes()) >> 1
+                    out += zip([int(qi[j])] * len(best), v[best].tolist(), s[best].tolist(), [asks] * len(best), strict=True)
+                cols = [list(c) for c in zip(*out, strict=True)] or [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64())], ["query_id", "vec_id", "score", "asks"])
 
-    got = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    got = streams.mapInArrow(run, "query_id long, vec_id long, score double, asks long")
+    w = Window.partitionBy("query_id", "asks").orderBy(F.desc("score"), "vec_id")
     return got.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -7,27 +7,33 @@ classes of characters, separators, letter case, country code, private network, c
 script, and for names the gender that the title or the name tells.
 
 Attempt 0 is taken unless it collides: all distinct entities are checked together, and one whose
-surrogate is also an entity of the corpus, or taken by another, goes on to its next attempt. After
-attempt WIDER surrogates grow longer, so a full format can't block this. Almost all
+surrogate is also an entity of the corpus, or taken by another, goes on to its next attempt, inside the same format. Before that
+the entities of each fixed format (digits of a phone, card or security number, addresses, secrets of one shape) are counted: where more than
+half of all its values are taken, an error says so, as no distinct ones could be found. Names have as many syllables as attempts ask for, and
+mail names may grow. After attempt WIDER addresses of small private networks go to the largest one. Almost all
 entities keep attempt 0, which needs no table; the others' attempts are broadcast while
 their checked number is small, and else joined to their documents.
 
-Null texts stay null. Texts without entities stay as they are. Repeated rows stay.
+A given name has the gender that any of its mentions in the document tells, so "Dr. Kim Lee" and "Mrs. Kim Lee" stay one person; the
+stem of its surrogate doesn't depend on the gender, only its ending does.
+
+Null texts stay null, empty and very long ones are handled like all others. Texts without entities stay as they are. Repeated rows and null doc_ids stay;
+other columns stay under their own names, and the new column gets a name that none of them has. No rows: no result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, fresh
 
-KEY = b"replace this key in production"
 WIDER = 12
 #: More exceptions than this are joined instead of broadcast.
 BROADCAST_EXCEPTIONS = 20_000
@@ -52,6 +58,7 @@ SYLLABLES = {
     "cyrillic": ["ба", "бор", "вел", "гор", "дан", "зор", "кал", "лев", "мир", "нов", "пол", "рад", "сев", "тер", "хар", "чер"],
     "greek": ["βα", "γαλ", "δημ", "ζαν", "καρ", "λου", "μαν", "νικ", "παν", "ρου", "σαν", "τσα", "φιλ", "χρι"],
 }
+ENDINGS = {"latin": {"m": "o", "f": "a", "u": "y"}, "cyrillic": {"m": "", "f": "а", "u": "я"}, "greek": {"m": "ος", "f": "α", "u": "ι"}}
 EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 SECRET = re.compile(r"(?i)(?:password|passwd|passphrase|secret|token|api[_\-]?key|access[_\-]?key)[^\w\"'\n]{0,10}[=:][^\w\"'\n]{0,6}[\"']?([A-Za-z0-9_\-./+=]{6,})")
 IP = re.compile(r"(?<![\d.])(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\.?\d)")
@@ -69,6 +76,11 @@ NAME = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _TITLES), key=len, rev
 _KNOWN = {n.casefold(): g for (_, g), names in GIVEN.items() for n in names}
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The secret key of the session's setting spark.pathledger.surrogateKey; where it isn't set, one for synthetic data alone."""
+    return spark.conf.get("spark.pathledger.surrogateKey", "for synthetic tables").encode()
+
+
 def _stream(kind: str, canon: str, attempt: int, key: bytes) -> Callable[[int], int]:
     """Numbers below a given one, as many as are asked for."""
     seed, state = f"{kind}\0{canon}\0{attempt}".encode("utf-8", "surrogatepass"), {"n": 0, "x": 0, "left": 0}
@@ -110,21 +122,23 @@ def script_of(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin" if c < 0x250 else "other"
 
 
-def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
     """The normal form that replaces a normal form."""
-    draw = _stream(kind, canon, attempt, key)
+    name = kind.startswith(("given", "surname"))
+    draw = _stream(kind.rpartition("_")[0] if name else kind, canon, attempt, key)
     wider = max(0, attempt - WIDER)
     if kind in ("card", "phone", "ssn"):
-        out = (canon[0] if kind == "card" else "") + _scramble(canon[kind == "card" :], draw) + "".join("0123456789"[draw(10)] for _ in range(wider))
+        out = (canon[0] if kind == "card" else "") + _scramble(canon[kind == "card" :], draw)
         if kind == "card" and not _luhn(canon):
             out = next(x for x in (out[:-1] + str(k) for k in range(10)) if not _luhn(x))
         return out
     if kind == "ip":
         o = canon.split(".")
         fixed = 2 if o[:2] in (["192", "168"], ["169", "254"]) or (o[0] == "172" and 16 <= int(o[1]) < 32) else 1 if o[0] in ("10", "127") else 0
+        if fixed and wider:
+            o, fixed = ["10"], 1
         free = [x for x in range(1, 224) if x not in (10, 127, 169, 172, 192)]
-        new = [o[i] if i < fixed else str(free[draw(len(free))] if i == 0 else draw(256)) for i in range(4)]
-        return ".".join(new) + (f".{wider}" if wider else "")
+        return ".".join(o[i] if i < fixed else str(free[draw(len(free))] if i == 0 else draw(256)) for i in range(4))
     if kind == "email":
         local, _, domain = canon.partition("@")
         labels = domain.split(".")
@@ -132,19 +146,28 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes = KEY) -> str:
         letters = "".join(chr(97 + draw(26)) for _ in range(wider))
         return _scramble(local, draw) + letters + "@" + ".".join([*(_scramble(x, draw) for x in labels[:-kept]), *labels[-kept:]])
     if kind == "secret":
-        hexa = re.fullmatch(r"[0-9a-f]+", canon) is not None
-        return _scramble(canon, draw, hexa) + _scramble("a" * wider, draw, hexa)
+        return _scramble(canon, draw, re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", canon) is not None)
     _, script, gender = kind.split("_")
     if script == "other":
         start = ord(canon[0]) // 256 * 256
         letters = [chr(x) for x in range(start, start + 256) if chr(x).isalpha()]
         return "".join(letters[draw(len(letters))] for _ in range(len(canon) + wider))
-    pool = GIVEN.get((script, gender), [])
-    if kind.startswith("given") and attempt < 3:
-        return pool[draw(len(pool))].casefold()
-    end = {"latin": {"m": "o", "f": "a", "u": "y"}, "cyrillic": {"m": "", "f": "а", "u": "я"}, "greek": {"m": "ος", "f": "α", "u": "ι"}}[script][gender] if kind.startswith("given") else ("ов" if script == "cyrillic" else "")
     s = SYLLABLES[script]
-    return "".join(s[draw(len(s))] for _ in range(3 + wider + attempt // 3)) + end
+    stem = "".join(s[draw(len(s))] for _ in range(3 + attempt // 3))
+    return stem + (ENDINGS[script][gender] if kind.startswith("given") else "ов" if script == "cyrillic" else "")
+
+
+#: Values of a shape (0 for each digit, a for each letter): logarithms of 10 and 26; a card's first digit and check digit are fixed.
+def _room(kind: Column, canon: Column) -> tuple[Column, Column]:
+    """The shape of an entity of a fixed format, and the logarithm of how many values it has; null for others."""
+    private = canon.rlike(r"^(10|127|192\.168|169\.254|172\.(1[6-9]|2\d|3[01]))\.")
+    shape = F.regexp_replace(F.regexp_replace(canon, "[0-9]", "0"), "[A-Za-z]", "a")
+    shape = F.when(kind == "ip", F.when(private, "private").otherwise("public")).when(kind.isin("card", "phone", "ssn", "secret"), shape)
+    digits, letters = F.regexp_count(shape, F.lit("0")), F.regexp_count(shape, F.lit("a"))
+    # secrets of hexadecimal digits alone draw from 16 values a place
+    hexa = (kind == "secret") & canon.rlike("^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$")
+    size = F.when(kind == "ip", F.when(private, math.log(2.0**24)).otherwise(math.log(2.0**31))).when(hexa, F.length(canon) * math.log(16.0))
+    return shape, F.coalesce(size, (digits - F.when(kind == "card", 2).otherwise(0)) * math.log(10.0) + letters * math.log(26.0))
 
 
 def _name_parts(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
@@ -230,7 +253,11 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     for g in got:
         if not out or g[0] >= out[-1][1]:
             out.append(g)
-    return out
+    told = {}
+    for _, _, kind, canon in out:
+        if kind.startswith("given") and not kind.endswith("_u"):
+            told.setdefault((kind[:-2], canon), kind)
+    return [(a, z, told.get((kind[:-2], canon), kind) if kind.startswith("given") and kind.endswith("_u") else kind, canon) for a, z, kind, canon in out]
 
 
 def render(kind: str, seen: str, new: str) -> str:
@@ -251,7 +278,7 @@ def render(kind: str, seen: str, new: str) -> str:
     return new
 
 
-def replace(text: str, attempts: dict[tuple[str, str], int] | None = None, key: bytes = KEY) -> tuple[str, int]:
+def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, int]:
     """The text with its surrogates, and how many there are."""
     found = find(text)
     if not found:
@@ -278,7 +305,7 @@ def entities(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, kind string, canon string")
 
 
-def exceptions(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
+def exceptions(distinct: DataFrame, key: bytes) -> DataFrame:
     """kind, canon, attempt for the entities (distinct kind and canon) that can't take attempt 0.
 
     Given names of all genders and scripts share one room, as do surnames, and each other kind.
@@ -290,6 +317,10 @@ def exceptions(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
             new = [surrogate(*x, key) for x in zip(k, c, a, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], [*b.schema.names, "new"])
 
+    shape, size = _room(F.col("kind"), F.col("canon"))
+    full = distinct.select("kind", shape.alias("shape"), size.alias("size")).filter("shape is not null").groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
+    for r in full.filter(F.log(F.col("n") * 2) > F.col("size")).limit(1).collect():
+        raise ValueError(f"{r['n']} distinct entities of kind {r['kind']}, shape {r['shape']!r}, take more than half of its values: no distinct surrogates")
     room = F.substring_index("kind", "_", 1)
     all_ = distinct.select(room.alias("room"), F.col("canon").alias("new")).distinct()
     pending = distinct.withColumn("attempt", F.lit(0))
@@ -308,7 +339,7 @@ def exceptions(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
         pending = left
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with surrogates in ``text``, and one more column at the end: the number replaced."""
     spark = docs.sparkSession
     seen = cut(entities(docs))
@@ -330,7 +361,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             new, n = [], []
             for t, own in zip(b.column("t").to_pylist(), b.column("own").to_pylist(), strict=True):
                 attempts = {(o["kind"], o["canon"]): o["attempt"] for o in own or []} if table is None else table.value
-                text, k = (None, 0) if t is None else replace(t, attempts, key)
+                text, k = (None, 0) if t is None else replace(t, key, attempts)
                 new.append(text)
                 n.append(k)
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(new, pa.string()), pa.array(n, pa.int64())], ["row", "t", "n"])

@@ -23,7 +23,7 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), pii.session_key(spark))
 
 
 def op4_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pathledger.model import ReportError
 _BINARY = ["B", "KiB", "MiB", "GiB", "TiB", "PiB"]
 # Factors of the units that size texts carry.
 SIZE_FACTORS = {"B": 1} | {f"{u}B": 1000 ** (i + 1) for i, u in enumerate("KMGTP")} | {f"{u}IB": 1024 ** (i + 1) for i, u in enumerate("KMGTP")}
-# Filesystem kinds that hold no storage of their own.
-SKIPPED_FILESYSTEMS = ["autofs", "bpf", "cgroup", "cgroup2", "debugfs", "devpts", "devtmpfs", "mqueue", "proc", "pstore", "securityfs", "sysfs", "tracefs"]
+# Filesystem kinds that a walk skips unless told otherwise.
+SKIPPED_FILESYSTEMS = ["proc", "sysfs", "devtmpfs", "devpts", "tmpfs", "cgroup2", "pstore", "securityfs", "debugfs", "tracefs", "configfs", "fusectl", "nsfs"]
 
 
 def humanize_bytes(n: Column) -> Column:
@@ -36,7 +36,7 @@ def humanize_count(n: Column) -> Column:
 def humanize_duration(seconds: Column) -> Column:
     whole = F.bround(seconds).cast("long")
     h, m, s = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
-    long = F.when(h > 0, F.concat(h.cast("string"), F.lit("h "), m.cast("string"), F.lit("m "), s.cast("string"), F.lit("s"))).otherwise(F.concat(m.cast("string"), F.lit("m "), s.cast("string"), F.lit("s")))
+    long = F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(""), m.cast("string"), F.lit("m"), s.cast("string"), F.lit("s"))
     return F.when(seconds < 60, F.concat(F.format_string("%.1f", seconds.cast("double")), F.lit("s"))).otherwise(long)
 
 
@@ -98,14 +98,32 @@ def error_kind(name: Column) -> Column:
     return F.when(name == "PermissionError", "permission_denied").when(name == "FileNotFoundError", "missing_path").when(name == "NotADirectoryError", "not_a_directory").otherwise("os_error")
 
 
-def mount_verdict(kind: Column, included: list[str], skipped: list[str]) -> Column:
+def mount_verdict(kind: Column, included: list[str], skipped: list[str], skip_overlay: bool = True, skip_namespace: bool = True) -> Column:
     """Whether a scan crosses into a mount of a filesystem kind, and why (or why not)."""
     skip = sorted({*SKIPPED_FILESYSTEMS, *skipped})
     return (
-        F.when(kind.isin(included or [""]), "included_filesystem").when(kind == "overlay", "skipped_overlay").when(kind == "nsfs", "skipped_nsfs").when(kind.isin(skip), "skipped_filesystem").otherwise("included")
+        F.when(kind.isin(included or [""]), "included_filesystem").when(F.lit(skip_overlay) & (kind == "overlay"), "skipped_overlay").when(F.lit(skip_namespace) & (kind == "nsfs"), "skipped_nsfs")
+        .when(kind.isin(skip), "skipped_filesystem").otherwise("included")
     )
 
 
+def mount_reason(kind: Column, verdict: Column) -> Column:
+    # The reasons that reports give.
+    return (
+        F.when(verdict == "included_filesystem", F.concat(kind, F.lit(" explicitly included by configuration"))).when(verdict == "skipped_overlay", "overlay mount skipped by default").when(verdict == "skipped_nsfs", "nsfs mount skipped by default")
+        .when(verdict == "skipped_filesystem", F.concat(kind, F.lit(" skipped by default mount policy"))).when(kind.isNull(), "no mount classification available").otherwise(F.concat(kind, F.lit(" included")))
+    )
+
+
+def mount_in_scope(mount_point: Column, mount_id: Column, root: str, root_mount_id: int | None) -> Column:
+    """Whether a mount matters to a root: it holds the root, or is at or below it."""
+    bare = F.rtrim(mount_point, F.lit("/"))
+    top = root.rstrip("/")
+    if not top:
+        return F.lit(True)
+    return F.coalesce(mount_id == F.lit(root_mount_id), F.lit(False)) | (bare == top) | bare.startswith(f"{top}/")
+
+
 def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
     """Seconds left at the rate so far; null while there is none."""
     return F.try_divide(total - done, F.try_divide(done, elapsed))
@@ -113,4 +131,7 @@ def eta_seconds(done: Column, total: Column, elapsed: Column) -> Column:
 
 def reason_text(ancestors: Column, descendants: Column) -> Column:
     a, d = ancestors > 0, descendants > 0
-    return F.when(a & d, "explains its ancestors and covers its descendants").when(a, "explains its ancestors").when(d, "covers its descendants").otherwise("stands alone")
+    # The reasons that reports give.
+    return (
+        F.when(a & d, "dominates near-duplicate ancestors while hiding lower-signal descendants").when(a, "dominates near-duplicate ancestors").when(d, "suppresses lower-signal descendants").otherwise("highest-signal growth target")
+    )

@@ -51,18 +51,24 @@ def explain_breakdown(rows: DataFrame, target: bytes, limit: int, depth: int) ->
     t = target.decode("latin-1")
     p = paths.to_text(F.col("path"))
     rows = rows.persist()
-    goal = rows.filter(p == t).select(F.col("disk_delta").alias("target_delta"), F.col("depth").alias("target_depth"))
+    extra = ["target_delta", "target_apparent", "target_depth"]
+    goal = rows.filter(p == t).select(F.col("disk_delta").alias("target_delta"), F.col("apparent_delta").alias("target_apparent"), F.col("depth").alias("target_depth"))
     below = rows.filter((p != t) & (F.col("classification") != "unchanged")).join(F.broadcast(goal), F.lit(True))
     if depth == 0:
-        return below.limit(0).drop("target_delta", "target_depth").withColumn("position", F.lit(0)), goal.select(F.col("target_delta").alias("residual"))
+        return below.limit(0).drop(*extra).withColumn("position", F.lit(0)), goal.select(F.col("target_delta").alias("residual"), F.col("target_apparent").alias("apparent_residual"))
     below = below.withColumn("level", F.col("depth") - F.col("target_depth")).filter((F.col("level") >= 1) & (F.col("level") <= F.lit(max(1, depth))))
     below = below.withColumn("child", F.when(F.col("level") == 1, p).otherwise(F.element_at(paths.ancestors_t(p, proper=False), -F.col("level").cast("int"))))
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("disk_delta"), F.desc("apparent_delta"), "path")
-    ranks = below.filter("level = 1").select("child", F.row_number().over(order).alias("child_rank"))
-    place = Window.partitionBy(F.lit(1)).orderBy("child_rank", "level", "path")
-    shown = below.join(ranks, "child").withColumn("position", F.row_number().over(place)).filter(F.col("position") <= limit)
-    part = shown.filter("level = 1").agg(F.coalesce(F.sum("disk_delta"), F.lit(0).cast("long")).alias("part"))
-    return shown.drop("child", "child_rank", "level", "target_delta", "target_depth"), goal.join(part, F.lit(True)).select((F.col("target_delta") - F.col("part")).alias("residual"))
+    # each child shows itself first, so no more than limit children and limit rows matter: both windows see that many
+    order = [F.desc("disk_delta"), F.desc("apparent_delta"), F.col("path")]
+    first = below.filter("level = 1").orderBy(*order).limit(limit)
+    ranks = first.select("child", F.row_number().over(Window.partitionBy("root_path").orderBy(*order)).alias("child_rank"))
+    place = ["child_rank", "level", "path"]
+    some = below.join(F.broadcast(ranks), "child").orderBy(*place).limit(limit)
+    shown = some.withColumn("position", F.row_number().over(Window.partitionBy("root_path").orderBy(*place)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    part = shown.filter("level = 1").agg(total("disk_delta").alias("part"), total("apparent_delta").alias("apparent_part"))
+    left = goal.join(part, F.lit(True)).select((F.col("target_delta") - F.col("part")).alias("residual"), (F.col("target_apparent") - F.col("apparent_part")).alias("apparent_residual"))
+    return shown.drop("child", "child_rank", "level", *extra), left
 
 
 def contributor_roles(trends: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def df_index(totals: DataFrame, usage: DataFrame) -> DataFrame:
     rows = totals.join(usage, "domain", "left").withColumn("stat_available", F.col("total_bytes").isNotNull() & F.col("capture_error").isNull())
     used = F.when(F.col("stat_available"), F.col("total_bytes") - F.col("free_bytes"))
     rows = rows.withColumn("used_bytes", used)
-    alias = F.col("domain").contains("|overlay|overlay") & (F.col("mount_point") != "/") & (F.col("disk_bytes") == 0)
+    alias = F.col("domain").endswith("|overlay|overlay") & (F.col("mount_point") != "/") & (F.col("disk_bytes") == 0)
     over = F.greatest(F.col("disk_bytes") - F.col("used_bytes"), zero)
     under = F.greatest(F.col("used_bytes") - F.col("disk_bytes"), zero)
     known = F.col("stat_available")

@@ -2,50 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.functions import paths
 from pathledger.functions.values import error_kind
 
 
-def count_links_once(entries: DataFrame) -> DataFrame:
-    """entries with disk_bytes and apparent_bytes: of the names of one inode only the first in the order of a
-    walk has disk bytes. Directories and others have their own; only files and links have apparent ones."""
+def counted_entries(entries: DataFrame) -> DataFrame:
+    """entries with disk_bytes, apparent_bytes, files, dirs and hardlink to be summed up.
+
+    Of the names of one inode only the first in the order of a walk has disk bytes: linked files count
+    none, and each inode adds a row at its first name that counts nothing else. So only files with
+    several names are grouped, in map-side combinable minima.
+    """
     linked = (F.col("kind") == "file") & (F.col("nlink") > 1)
-    w = Window.partitionBy("root_path", "device", "inode", F.when(~linked, F.col("path"))).orderBy(paths.traversal_key(F.col("path")))
-    first = F.row_number().over(w) == 1
     sized = F.col("kind").isin("file", "link", "directory")
-    zero = F.lit(0).cast("long")
-    return entries.withColumns({
-        "disk_bytes": F.when(sized & (~linked | first), F.col("blocks") * 512).otherwise(zero),
-        "apparent_bytes": F.when(sized, F.col("size")).otherwise(zero), "hardlink": linked.cast("long"),
-    })
+    zero, is_dir = F.lit(0).cast("long"), F.col("kind") == "directory"
+    own = entries.select(
+        "root_path", "path", "kind", "error", F.when(sized & ~linked, F.col("blocks") * 512).otherwise(zero).alias("disk_bytes"), F.when(sized, F.col("size")).otherwise(zero).alias("apparent_bytes"),
+        (~is_dir).cast("long").alias("files"), is_dir.cast("long").alias("dirs"), linked.cast("long").alias("hardlink"),
+    )
+    first = F.min(F.struct(paths.traversal_key(F.col("path")), "path", "blocks")).alias("first")
+    shared = entries.filter(linked).groupBy("root_path", "device", "inode").agg(first)
+    return own.unionByName(shared.select(
+        "root_path", F.col("first.path").alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("error"), (F.col("first.blocks") * 512).alias("disk_bytes"), *[zero.alias(c) for c in ("apparent_bytes", "files", "dirs", "hardlink")]
+    ))
 
 
 def subtree_sums(entries: DataFrame) -> DataFrame:
-    """A state row for each directory: sizes with its own, files and directories below, the largest child."""
-    rows = count_links_once(entries)
+    """A state row for each directory: sizes with its own, files and directories below, the largest child.
+
+    Files are summed by their directory first; only directories are carried to those above them.
+    """
     is_dir = F.col("kind") == "directory"
-    inner = rows.filter(paths.to_text(F.col("path")).startswith(F.col("root_path")))
-    up = paths.with_ancestors(inner, "path", "above", proper=False).filter(paths.under_t(paths.to_text(F.col("above")), F.col("root_path")))
+    t, sizes = paths.to_text(F.col("path")), ["apparent_bytes", "disk_bytes", "files", "dirs", "hardlink"]
+    rows = counted_entries(entries.filter(t.startswith(F.col("root_path")))).withColumn("path", F.when(is_dir, F.col("path")).otherwise(paths.parent(F.col("path"))))
+    direct = rows.filter("path is not null").groupBy("root_path", "path").agg(
+        *[F.sum(c).alias(c) for c in sizes], F.max(F.when(is_dir, error_kind(F.col("error")))).alias("raw_error"), F.max(is_dir).alias("here"), F.max(F.when(is_dir, F.col("error"))).alias("error_name")
+    )
+    up = paths.with_ancestors(direct, "path", "above", proper=False).filter(paths.under_t(paths.to_text(F.col("above")), F.col("root_path")))
     self_ = F.col("above") == F.col("path")
     sums = up.groupBy("root_path", F.col("above").alias("path")).agg(
-        F.sum("apparent_bytes").alias("apparent_bytes"), F.sum("disk_bytes").alias("disk_bytes"), F.sum((~is_dir).cast("long")).alias("file_count"), F.sum((is_dir & ~self_).cast("long")).alias("dir_count"), F.sum("hardlink").alias("hardlink_count"),
-        F.max(F.when(self_, error_kind(F.col("error")))).alias("raw_error"), F.max(self_ & is_dir).alias("here"), F.max(F.when(self_, F.col("error"))).alias("error_name"),
+        F.sum("apparent_bytes").alias("apparent_bytes"), F.sum("disk_bytes").alias("disk_bytes"), F.sum("files").alias("file_count"), F.sum(F.when(~self_, F.col("dirs")).otherwise(0)).alias("dir_count"), F.sum("hardlink").alias("hardlink_count"),
+        F.max(F.when(self_, F.col("raw_error"))).alias("raw_error"), F.max(self_ & F.col("here")).alias("here"), F.max(F.when(self_, F.col("error_name"))).alias("error_name"),
     ).filter("here")
-    t = paths.to_text(F.col("path"))
     at_root = t == F.col("root_path")
     rel = paths.relative_t(t, F.col("root_path"))
     out = sums.withColumns({"parent_path": F.when(~at_root, paths.parent(F.col("path"))), "depth": F.when(at_root, 0).otherwise(F.size(F.split(rel, "/")))})
-    w = Window.partitionBy("root_path", "parent_path").orderBy(F.desc("disk_bytes"), "path")
-    below = out.filter("parent_path is not null")
-    top = below.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("root_path", F.col("parent_path").alias("path"), F.struct("disk_bytes", F.col("path").alias("p")).alias("top"))
-    child = below.groupBy("root_path", F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("direct_directories")).join(top, ["root_path", "path"])
+    largest = F.min(F.struct((-F.col("disk_bytes")).alias("less"), F.col("path").alias("p"))).alias("top")
+    child = out.filter("parent_path is not null").groupBy("root_path", F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("direct_directories"), largest)
     out = out.join(child, ["root_path", "path"], "left")
     return out.select(
         "root_path", "path", "parent_path", "depth", "apparent_bytes", "disk_bytes", "file_count", "dir_count", F.when(F.col("error_name").isNotNull(), F.col("raw_error")).alias("error"),
-        F.col("top.p").alias("top_child_path"), F.col("top.disk_bytes").alias("top_child_disk_bytes"), F.coalesce("direct_directories", F.lit(0).cast("long")).alias("direct_directories"), "hardlink_count",
+        F.col("top.p").alias("top_child_path"), (-F.col("top.less")).alias("top_child_disk_bytes"), F.coalesce("direct_directories", F.lit(0).cast("long")).alias("direct_directories"), "hardlink_count",
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pathledger.functions.values import parse_since
 from pathledger.model import ReportError, parse_depth, parse_grouping, parse_limit
-from pathledger.operators import diff, domains, frontier, grouping, reconcile, retention, selection, trends
+from pathledger.operators import diff, domains, frontier, grouping, reconcile, selection, trends
 from pathledger.sources.store import Store
 
 
@@ -127,7 +127,7 @@ class Reports:
         rows = diff.explain_rows(d.filter(F.col("root_path") == roots[0]["root_path"]), path)
         shown, rest = frontier.explain_breakdown(rows, path, n, levels)
         left = rest.first()
-        return {"target": rows_of(rows.filter(F.col("path") == F.lit(path))), "children": rows_of(shown.orderBy("position")), "residual": left[0] if left else None, "warnings": warnings}
+        return {"target": rows_of(rows.filter(F.col("path") == F.lit(path))), "children": rows_of(shown.orderBy("position")), "residual": left[0] if left else None, "apparent_residual": left[1] if left else None, "warnings": warnings}
 
     def df_vs_index(self, usage: DataFrame, limit: object = None) -> dict:
         """usage: as reconcile.df_index takes it, from sources.inventory.capacity or elsewhere."""
@@ -155,14 +155,7 @@ class Reports:
         return {"contributors": rows, "filesystems": rows_of(trends.pressure_trends(self.store.table("filesystems"), s, n)), "next_paths": actions}
 
     def prune(self, now, policy=None) -> dict:  # noqa: ANN001
-        with self.store.lock():
-            return self.store.prune(now, policy)
+        return self.store.prune(now, policy)
 
     def vacuum(self) -> dict:
-        with self.store.lock():
-            return self.store.vacuum()
-
-    def orphans(self) -> DataFrame:
-        """Paths that only removed versions knew: none, as paths live in the rows that use them."""
-        iv = self.store.table("intervals")
-        return retention.orphan_paths(iv.select("path").distinct(), (iv, "path"), (iv, "parent_path"), (iv, "top_child_path"))
+        return self.store.vacuum()

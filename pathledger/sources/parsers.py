@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from pathledger.functions.values import parse_size, to_int
 
-# The escapes that kernels write into mount tables.
-ESCAPES = {"\\040": " ", "\\011": "\t", "\\012": "\n", "\\043": "#"}
-
 
 def unescape(text: Column) -> Column:
-    for escape, char in ESCAPES.items():
-        text = F.replace(text, F.lit(escape), F.lit(char))
-    return F.replace(text, F.lit("\\134"), F.lit("\\"))
+    """Bytes of a text in which a backslash and three octal digits stand for a byte; others stay as they are."""
+    raw = F.encode(text, "UTF-8")
+    pieces = F.regexp_extract_all(F.decode(raw, "ISO-8859-1"), F.lit(r"\\[0-3][0-7]{2}|[^\\]+|\\"), F.lit(0))
+    read = F.transform(pieces, lambda p: F.when(p.rlike(r"^\\[0-3][0-7]{2}$"), F.char(F.conv(F.substr(p, F.lit(2)), 8, 10).cast("int"))).otherwise(p))
+    return F.when(text.contains("\\"), F.encode(F.array_join(read, ""), "ISO-8859-1")).otherwise(raw)
 
 
 def parse_mountinfo(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -26,8 +25,8 @@ def parse_mountinfo(lines: DataFrame, value: str = "value") -> DataFrame:
     at = lambda c, i: F.get(F.col(c), F.lit(i))
     keep = [c for c in lines.columns if c != value]
     return got.select(
-        *keep, at("_l", 0).try_cast("bigint").alias("mount_id"), at("_l", 1).try_cast("bigint").alias("parent_id"), at("_l", 2).alias("major_minor"), F.encode(unescape(at("_l", 3)), "UTF-8").alias("root"),
-        F.encode(unescape(at("_l", 4)), "UTF-8").alias("mount_point"), F.split(at("_l", 5), ",").alias("options"), at("_r", 0).alias("filesystem_type"), unescape(at("_r", 1)).alias("mount_source"),
+        *keep, at("_l", 0).try_cast("bigint").alias("mount_id"), at("_l", 1).try_cast("bigint").alias("parent_id"), at("_l", 2).alias("major_minor"), unescape(at("_l", 3)).alias("root"),
+        unescape(at("_l", 4)).alias("mount_point"), F.split(at("_l", 5), ",").alias("options"), at("_r", 0).alias("filesystem_type"), unescape(at("_r", 1)).cast("string").alias("mount_source"),
         F.split(at("_r", 2), ",").alias("super_options"), F.col("_l").isNull().alias("malformed"),
     )
 

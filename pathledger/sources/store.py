@@ -1,14 +1,14 @@
-"""Snapshots, intervals and samples as Parquet tables with versions.
+"""Snapshots, intervals and samples as Parquet tables with versions, on any file system that Spark reaches.
 
-A commit writes a new version of the tables it changes beside the old ones, then swaps one pointer
-file; readers see a version whole. One writer at a time holds a lock file.
+A version is a small file that names the folders of each table; a commit writes new folders beside the
+old ones, then renames the next version into place, so readers see a commit whole. A snapshot adds
+folders of its own and rewrites only its root's open intervals. One writer at a time holds the lock file.
 """
 
 from __future__ import annotations
 
-import fcntl
 import json
-import os
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -22,97 +22,184 @@ from pathledger.operators import intervals as iv
 from pathledger.operators import retention
 
 TABLES = {"snapshots": SNAPSHOTS, "intervals": INTERVALS, "diagnostics": STATE, "mounts": MOUNTS, "filesystems": FILESYSTEMS}
+STALE_SECONDS = 6 * 3600  # a lock older than this is that of a writer that died
 
 
 class Store:
     """Tables in a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str, create: bool = False):
-        self.spark, self.path = spark, path
-        if not os.path.exists(f"{path}/current.json"):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._held = threading.RLock()
+        self._depth = 0
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        if not self._fs.exists(self._at("")) or not self._versions():
             if not create:
                 raise ReportError("database_error", f"no store at {path}")
-            os.makedirs(path, exist_ok=True)
+            self._fs.mkdirs(self._at(""))
             self._point({})
 
-    def _current(self) -> dict[str, str]:
-        with open(f"{self.path}/current.json") as f:
-            return json.load(f)
-
-    def _point(self, current: dict[str, str]) -> None:
-        new = f"{self.path}/current.{uuid.uuid4().hex}"
-        with open(new, "w") as f:
-            json.dump(current, f)
-        os.replace(new, f"{self.path}/current.json")
+    def _at(self, name: str):  # noqa: ANN202
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _names(self, folder: str = "") -> list[str]:
+        return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))]
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[8:-5]) for n in self._names() if n.startswith("version-") and n.endswith(".json"))
+
+    def _read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _write(self, name: str, text: str) -> None:
+        out = self._fs.create(self._at(name), False)
+        try:
+            out.write(text.encode())
+        finally:
+            out.close()
+
+    def _current(self) -> dict:
+        return json.loads(self._read(f"version-{self._versions()[-1]}.json"))
+
+    def _point(self, current: dict) -> None:
+        new, to = f"next.{uuid.uuid4().hex}", f"version-{(self._versions() or [0])[-1] + 1}.json"
+        self._write(new, json.dumps(current))
+        if self._fs.exists(self._at(to)) or not self._fs.rename(self._at(new), self._at(to)):
+            raise ReportError("operation_locked", "another writer committed first")
+
+    def _take_lock(self, owner: str) -> bool:
+        j = self.spark._jvm
+        try:
+            if self._fs.exists(self._at("lock")):
+                age = time.time() - self._fs.getFileStatus(self._at("lock")).getModificationTime() / 1000
+                if age < STALE_SECONDS:
+                    return False
+                self._fs.delete(self._at("lock"), False)
+            self._write("lock", owner)
+            return self._read("lock") == owner
+        except Exception as e:
+            cause = getattr(e, "java_exception", None)
+            if cause is not None and j.java.io.IOException().getClass().isInstance(cause):  # another writer was first, or has just left
+                return False
+            raise
 
     @contextmanager
     def lock(self, wait_seconds: float = 10_800) -> Iterator[None]:
-        """Only one writer; others wait, then fail."""
-        with open(f"{self.path}/lock", "w") as f:
-            end = time.monotonic() + wait_seconds
-            while True:
-                try:
-                    fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
-                    break
-                except OSError:
+        """Only one writer; others wait, then fail. A writer may take it again inside."""
+        if not self._held.acquire(timeout=wait_seconds):
+            raise ReportError("operation_locked", "another writer holds the store")
+        try:
+            if self._depth == 0:
+                owner, end = uuid.uuid4().hex, time.monotonic() + wait_seconds
+                while not self._take_lock(owner):
                     if time.monotonic() >= end:
-                        raise ReportError("operation_locked", "another writer holds the store") from None
+                        raise ReportError("operation_locked", "another writer holds the store")
                     time.sleep(0.05)
-            yield
+            self._depth += 1
+            try:
+                yield
+            finally:
+                self._depth -= 1
+                if self._depth == 0:
+                    self._fs.delete(self._at("lock"), False)
+        finally:
+            self._held.release()
+
+    @staticmethod
+    def _folders(current: dict, name: str) -> list[str]:
+        return current.get(name, []) + (list(current.get("open", {}).values()) if name == "intervals" else [])
+
+    def _load(self, schema: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
 
     def table(self, name: str) -> DataFrame:
-        at = self._current().get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{at}") if at else self.spark.createDataFrame([], TABLES[name])
+        return self._load(TABLES[name], self._folders(self._current(), name))
+
+    def _save(self, name: str, df: DataFrame) -> str:
+        at = f"{name}-{uuid.uuid4().hex}"
+        df.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.parquet(f"{self.path}/{at}")
+        return at
+
+    def _save_intervals(self, df: DataFrame) -> tuple[list[str], dict[str, str]]:
+        """(folders of ended intervals, folder of each root's open ones), from one job."""
+        at = f"intervals-{uuid.uuid4().hex}"
+        keyed = df.select(*self.spark.createDataFrame([], INTERVALS).columns, F.col("valid_to_snapshot_id").isNull().alias("_open"), F.md5(F.encode("root_path", "UTF-8")).alias("_root"))
+        keyed.write.partitionBy("_open", "_root").parquet(f"{self.path}/{at}")
+        found = {side: [n for n in self._names(f"{at}/_open={side}") if n.startswith("_root=")] if f"_open={side}" in self._names(at) else [] for side in ("false", "true")}
+        return [f"{at}/_open=false/{n}" for n in found["false"]], {n[6:]: f"{at}/_open=true/{n}" for n in found["true"]}
 
     def commit(self, **tables: DataFrame) -> None:
-        """Write new versions of tables; all of them show at once."""
-        current = self._current()
-        for name, df in tables.items():
-            at = f"{name}-{uuid.uuid4().hex}"
-            columns = self.spark.createDataFrame([], TABLES[name]).columns
-            df.select(*columns).write.parquet(f"{self.path}/{at}")
-            current[name] = at
-        self._point(current)
+        """Write tables anew; all of them show at once."""
+        with self.lock():
+            current = self._current()
+            for name, df in tables.items():
+                if name == "intervals":
+                    current["intervals"], current["open"] = self._save_intervals(df)
+                else:
+                    current[name] = [self._save(name, df)]
+            self._point(current)
 
     def state(self, snapshots: DataFrame | None = None) -> DataFrame:
         return iv.snapshot_state(self.table("intervals"), self.table("diagnostics"), self.table("snapshots") if snapshots is None else snapshots)
 
-    def record(self, root_path: str, rows: DataFrame, started_at: str, finished_at: str | None, status: str, mounts: DataFrame | None = None, filesystems: DataFrame | None = None, error: str | None = None) -> int:
-        """One snapshot and all that belongs to it in one commit; complete ones go into intervals."""
-        known = self.table("snapshots")
-        id_ = (known.agg(F.max("id")).first()[0] or 0) + 1
-        one = self.spark.createDataFrame([(id_, started_at, finished_at, root_path, "failed" if status == "running" else status, None, error)], SNAPSHOTS)
-        new = {"snapshots": known.unionByName(one)}
-        if status == "complete":
-            new["intervals"] = iv.promote(self.table("intervals"), rows, root_path, id_)
-        else:
-            new["diagnostics"] = self.table("diagnostics").unionByName(rows.withColumns({"snapshot_id": F.lit(id_).cast("long"), "root_path": F.lit(root_path)}), allowMissingColumns=True)
-        for name, df in (("mounts", mounts), ("filesystems", filesystems)):
-            if df is not None:
-                new[name] = self.table(name).unionByName(df.withColumn("snapshot_id", F.lit(id_).cast("long")), allowMissingColumns=True)
-        self.commit(**new)
-        return id_
+    def record(
+        self, root_path: str, rows: DataFrame, started_at: str, finished_at: str | None, status: str, mounts: DataFrame | None = None, filesystems: DataFrame | None = None, error: str | None = None, notes: str | None = None, once: bool = False
+    ) -> int:
+        """One snapshot and all that belongs to it in one commit; complete ones go into intervals. With
+        once, a snapshot of these notes that is there already is left as it is."""
+        with self.lock():
+            known = self.table("snapshots")
+            was = known.filter(F.col("notes") == notes).select("id").first() if once else None
+            if was:
+                return was[0]
+            id_ = (known.agg(F.max("id")).first()[0] or 0) + 1
+            one = self.spark.createDataFrame([(id_, started_at, finished_at, root_path, "failed" if status == "running" else status, notes, error)], SNAPSHOTS)
+            current = self._current()
+            mine = lambda df: df.withColumn("snapshot_id", F.lit(id_).cast("long"))
+            if status == "complete":
+                key = self.spark.range(1).select(F.md5(F.encode(F.lit(root_path), "UTF-8"))).first()[0]
+                was_open = self._load(INTERVALS, [current["open"][key]] if key in current.get("open", {}) else [])
+                ended, still = self._save_intervals(iv.promote(was_open, rows, root_path, id_))
+                current["intervals"] = current.get("intervals", []) + ended
+                current["open"] = {k: v for k, v in current.get("open", {}).items() if k != key} | still
+                more = []
+            else:
+                more = [("diagnostics", rows.withColumn("root_path", F.lit(root_path)))]
+            for name, df in [*more, ("mounts", mounts), ("filesystems", filesystems)]:
+                if df is not None:
+                    whole = self.spark.createDataFrame([], TABLES[name]).unionByName(mine(df), allowMissingColumns=True)
+                    current[name] = [*current.get(name, []), self._save(name, whole)]
+            current["snapshots"] = [self._save("snapshots", known.unionByName(one).coalesce(1))]
+            self._point(current)
+            return id_
 
     def prune(self, now, policy=None) -> dict[str, int]:  # noqa: ANN001
-        """Keep what the policy retains; states of retained snapshots don't change."""
-        snapshots = self.table("snapshots")
-        kept = snapshots.join(retention.retained(snapshots, now, policy), "id", "left_semi")
-        before, after = snapshots.count(), kept.count()
-        if after < before:
-            done = kept.filter("status = 'complete'").select("root_path", "id")
-            self.commit(
-                snapshots=kept, intervals=retention.rebound(self.table("intervals"), done), diagnostics=retention.without(self.table("diagnostics"), kept, "snapshot_id"),
-                mounts=retention.without(self.table("mounts"), kept, "snapshot_id"), filesystems=retention.without(self.table("filesystems"), kept, "snapshot_id"),
-            )
+        """Keep what the policy retains; states of retained snapshots don't change. Tables are written anew, in few folders."""
+        with self.lock():
+            snapshots = self.table("snapshots")
+            kept = snapshots.join(retention.retained(snapshots, now, policy), "id", "left_semi")
+            before, after = snapshots.count(), kept.count()
+            if after < before:
+                done = kept.filter("status = 'complete'").select("root_path", "id")
+                self.commit(
+                    snapshots=kept, intervals=retention.rebound(self.table("intervals"), done), diagnostics=retention.without(self.table("diagnostics"), kept, "snapshot_id"),
+                    mounts=retention.without(self.table("mounts"), kept, "snapshot_id"), filesystems=retention.without(self.table("filesystems"), kept, "snapshot_id"),
+                )
         return {"retained": after, "removed": before - after}
 
     def vacuum(self) -> dict[str, int]:
-        """Delete versions that the pointer no longer names."""
-        import shutil
-
-        live, gone = set(self._current().values()), 0
-        for d in os.listdir(self.path):
-            if "-" in d and d not in live:
-                shutil.rmtree(f"{self.path}/{d}")
-                gone += 1
+        """Delete folders that the version in force doesn't name, and versions before it."""
+        with self.lock():
+            current, versions = self._current(), self._versions()
+            live, gone = {f.split("/")[0] for name in TABLES for f in self._folders(current, name)}, 0
+            for n in self._names():
+                if n.split("-")[0] in TABLES and n not in live:
+                    self._fs.delete(self._at(n), True)
+                    gone += 1
+            for v in versions[:-1]:
+                self._fs.delete(self._at(f"version-{v}.json"), False)
         return {"versions_removed": gone, "versions_kept": len(live)}

@@ -20,20 +20,22 @@ def window_sums(events: DataFrame, window: str = "1 hour", late: str = "2 hours"
 
 
 def promote_stream(rows: DataFrame, store: Store, root_path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Each micro-batch of state rows becomes a complete snapshot of the root. A batch that was
-    promoted before a restart is recognised by its note and skipped."""
+    """Each window of state rows becomes a complete snapshot of the root, in the order of the windows.
+
+    rows: of window_sums. A window that was promoted before a restart is known by the snapshot's notes
+    and left as it is.
+    """
 
     def take(batch: DataFrame, batch_id: int) -> None:
-        note = f"{checkpoint}:{batch_id}"
-        done = store.table("snapshots").filter(F.col("error") == note).limit(1).count()
-        if done or batch.isEmpty():
-            return
-        at = batch.agg(F.date_format(F.max("window_end"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).first()[0]
         null = {c: F.lit(None).cast(t) for c, t in (("error", "string"), ("collapse_reason", "string"), ("collapsed_dirs", "long"), ("top_child_path", "binary"), ("top_child_disk_bytes", "long"))}
         t = paths.to_text(F.col("path"))
-        full = batch.drop("window_start", "window_end").withColumns({"parent_path": paths.parent(F.col("path")), "depth": paths.depth_t(t).cast("int"), "dir_count": F.lit(0).cast("long"), "collapsed": F.lit(False), **null})
-        with store.lock():
-            store.record(root_path, full, at, at, "complete", error=note)
+        full = batch.withColumns({"at": F.date_format("window_end", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "parent_path": paths.parent(F.col("path")), "depth": paths.depth_t(t).cast("int"), "dir_count": F.lit(0).cast("long"), "collapsed": F.lit(False), **null}).persist()
+        try:
+            for (at,) in full.select("at").distinct().orderBy("at").collect():  # one row a window
+                one = full.filter(F.col("at") == at).drop("window_start", "window_end", "at")
+                store.record(root_path, one, at, at, "complete", notes=f"{checkpoint}:{batch_id}:{at}", once=True)
+        finally:
+            full.unpersist()
 
     return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).foreachBatch(take).start()
 

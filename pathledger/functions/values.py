@@ -16,12 +16,17 @@ SIZE_FACTORS = {"B": 1} | {f"{u}B": 1000 ** (i + 1) for i, u in enumerate("KMGTP
 SKIPPED_FILESYSTEMS = ["proc", "sysfs", "devtmpfs", "devpts", "tmpfs", "cgroup2", "pstore", "securityfs", "debugfs", "tracefs", "configfs", "fusectl", "nsfs"]
 
 
+def one_decimal(x: Column) -> Column:
+    """A double with one decimal, rounded by its exact value, real ties to even."""
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+
+
 def humanize_bytes(n: Column) -> Column:
     size = F.abs(n).cast("double")
     sign = F.when(n < 0, "-").otherwise("")
     out = F.concat(sign, F.abs(n).cast("string"), F.lit(" B"))
     for i, unit in enumerate(_BINARY[1:], 1):
-        out = F.when(size >= float(1024**i), F.concat(sign, F.format_string("%.1f", size / float(1024**i)), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(size >= float(1024**i), F.concat(sign, one_decimal(size / float(1024**i)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
@@ -29,7 +34,7 @@ def humanize_count(n: Column) -> Column:
     size = F.abs(n).cast("double")
     out = n.cast("string")
     for i, unit in enumerate("kMBT", 1):
-        out = F.when(size >= float(1000**i), F.concat(F.format_string("%.1f", n / float(1000**i)), F.lit(unit))).otherwise(out)
+        out = F.when(size >= float(1000**i), F.concat(one_decimal(n / float(1000**i)), F.lit(unit))).otherwise(out)
     return out
 
 
@@ -37,7 +42,7 @@ def humanize_duration(seconds: Column) -> Column:
     whole = F.bround(seconds).cast("long")
     h, m, s = F.floor(whole / 3600), F.floor(whole % 3600 / 60), whole % 60
     long = F.concat(F.when(h > 0, F.concat(h.cast("string"), F.lit("h"))).otherwise(""), m.cast("string"), F.lit("m"), s.cast("string"), F.lit("s"))
-    return F.when(seconds < 60, F.concat(F.format_string("%.1f", seconds.cast("double")), F.lit("s"))).otherwise(long)
+    return F.when(seconds < 60, F.concat(one_decimal(seconds.cast("double")), F.lit("s"))).otherwise(long)
 
 
 def parse_size(text: Column) -> Column:

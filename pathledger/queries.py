@@ -88,12 +88,12 @@ def pair_warnings(spark: SparkSession, sf: str) -> DataFrame:
     return selection.resolve_pairs(snaps, SINCE)[1]
 
 
-@query(f"WITH {DIFF_SQL}, {FRONTIER_SQL} SELECT row_number() OVER (ORDER BY disk_delta DESC, depth DESC, path) AS rank, path, classification, disk_delta, suppressed_ancestor_count, suppressed_descendant_count FROM front ORDER BY rank LIMIT 20")
+@query(f"WITH {DIFF_SQL}, {FRONTIER_SQL} SELECT row_number() OVER (ORDER BY disk_delta DESC, depth DESC, path) AS rank, path, classification, disk_delta, suppressed_ancestor_count, suppressed_descendant_count, CASE WHEN suppressed_ancestor_count > 0 AND suppressed_descendant_count > 0 THEN 'dominates near-duplicate ancestors while hiding lower-signal descendants' WHEN suppressed_ancestor_count > 0 THEN 'dominates near-duplicate ancestors' WHEN suppressed_descendant_count > 0 THEN 'suppresses lower-signal descendants' ELSE 'highest-signal growth target' END AS reason FROM front ORDER BY rank LIMIT 20")
 def growth_frontier(spark: SparkSession, sf: str) -> DataFrame:
     _, _, d = orders_diff(spark, sf)
     top = diff.ordered(frontier.growth_frontier(d)).limit(20)
     w = Window.partitionBy("root_path").orderBy(F.desc("disk_delta"), F.desc("depth"), "path")
-    return top.select(F.row_number().over(w).cast("long").alias("rank"), text("path").alias("path"), "classification", "disk_delta", "suppressed_ancestor_count", "suppressed_descendant_count")
+    return top.select(F.row_number().over(w).cast("long").alias("rank"), text("path").alias("path"), "classification", "disk_delta", "suppressed_ancestor_count", "suppressed_descendant_count", "reason")
 
 
 @query(f"WITH {ad.ORDERS_SQL}, latest AS (SELECT id FROM snaps WHERE status <> 'failed' ORDER BY finished_at DESC, id DESC LIMIT 1) SELECT row_number() OVER (ORDER BY disk_bytes DESC, path) AS rank, path, disk_bytes, split_part(path, '/', 2) AS seg, CASE WHEN path = '/' THEN '.' ELSE split_part(path, '/', 2) END AS group_key FROM state, latest WHERE snapshot_id = id ORDER BY rank LIMIT 20")
@@ -127,7 +127,7 @@ def explain_path(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {DIFF_SQL}, below AS (SELECT * FROM diff WHERE starts_with(path, '/ASIA/') AND depth = 2 AND classification <> 'unchanged' ORDER BY disk_delta DESC, apparent_delta DESC, path LIMIT 3)
-SELECT CAST((SELECT disk_delta FROM diff WHERE path = '/ASIA') - coalesce(sum(disk_delta), 0) AS BIGINT) AS residual FROM below"""
+SELECT CAST((SELECT disk_delta FROM diff WHERE path = '/ASIA') - coalesce(sum(disk_delta), 0) AS BIGINT) AS residual, CAST((SELECT apparent_delta FROM diff WHERE path = '/ASIA') - coalesce(sum(apparent_delta), 0) AS BIGINT) AS apparent_residual FROM below"""
 )
 def explain_residual(spark: SparkSession, sf: str) -> DataFrame:
     return frontier.explain_breakdown(diff.explain_rows(orders_diff(spark, sf)[2], b"/ASIA"), b"/ASIA", 3, 1)[1]
@@ -383,13 +383,47 @@ def open_files(spark: SparkSession, sf: str) -> DataFrame:
     return parsers.open_files(per.select(F.col("o_custkey").alias("output"), value.alias("value"))).select("pid", "command", "fd", "size_bytes", "path")
 
 
-@query("SELECT s_suppkey AS mount_id, s_nationkey AS parent_id, '/m nt/' || s_name AS mount_point, CASE s_suppkey % 4 WHEN 0 THEN 'ext4' WHEN 1 THEN 'overlay' WHEN 2 THEN 'nsfs' ELSE 'proc' END AS filesystem_type, CASE s_suppkey % 4 WHEN 0 THEN 'included' WHEN 1 THEN 'skipped_overlay' WHEN 2 THEN 'skipped_nsfs' ELSE 'skipped_filesystem' END AS verdict FROM supplier")
+_MOUNT_KINDS = ["ext4", "xfs", "overlay", "autofs", "bpf", "cgroup", "mqueue", *values.SKIPPED_FILESYSTEMS]
+# Spelt out, so that the oracle doesn't follow the list it checks.
+_SKIPPED_SQL = "('proc', 'sysfs', 'devtmpfs', 'devpts', 'tmpfs', 'cgroup2', 'pstore', 'securityfs', 'debugfs', 'tracefs', 'configfs', 'fusectl')"
+
+
+@query(
+    f"""WITH s AS (SELECT *, {_MOUNT_KINDS!r}[CAST(s_suppkey % {len(_MOUNT_KINDS)} AS INT) + 1] AS kind FROM supplier)
+SELECT s_suppkey AS mount_id, s_nationkey AS parent_id, '/m ntA#\\9/' || s_name AS mount_point, kind AS filesystem_type, CASE WHEN kind = 'overlay' THEN 'skipped_overlay' WHEN kind = 'nsfs' THEN 'skipped_nsfs' WHEN kind IN {_SKIPPED_SQL} THEN 'skipped_filesystem' ELSE 'included' END AS verdict,
+       CASE WHEN kind IN ('overlay', 'nsfs') THEN kind || ' mount skipped by default' WHEN kind IN {_SKIPPED_SQL} THEN kind || ' skipped by default mount policy' ELSE kind || ' included' END AS reason, s_suppkey % 3 = 0 AS in_scope FROM s"""
+)
 def mount_tables(spark: SparkSession, sf: str) -> DataFrame:
     s = ad.table(spark, sf, "supplier")
-    kind = F.element_at(F.array(*map(F.lit, ("ext4", "overlay", "nsfs", "proc"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    line = F.concat(F.col("s_suppkey").cast("string"), F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(" 8:1 / /m\\040nt/"), F.replace(F.col("s_name"), F.lit(" "), F.lit("\\040")), F.lit(" rw,nosuid shared:1 - "), kind, F.lit(" /dev/x rw"))
+    kind = F.element_at(F.array(*map(F.lit, _MOUNT_KINDS)), (F.col("s_suppkey") % len(_MOUNT_KINDS) + 1).cast("int"))
+    line = F.concat(F.col("s_suppkey").cast("string"), F.lit(" "), F.col("s_nationkey").cast("string"), F.lit(" 8:1 / /m\\040nt\\101\\043\\1349/"), F.replace(F.col("s_name"), F.lit(" "), F.lit("\\040")), F.lit(" rw,nosuid shared:1 - "), kind, F.lit(" /dev/x rw"))
     got = parsers.parse_mountinfo(s.select(line.alias("value")))
-    return got.select("mount_id", F.col("parent_id").cast("int").alias("parent_id"), text("mount_point").alias("mount_point"), "filesystem_type", values.mount_verdict(F.col("filesystem_type"), [], []).alias("verdict"))
+    verdict = values.mount_verdict(F.col("filesystem_type"), [], [])
+    point = F.when(F.col("mount_id") % 3 == 0, F.concat(F.lit("/srv/"), F.col("mount_id").cast("string"))).otherwise("/srvx")
+    return got.select(
+        "mount_id", F.col("parent_id").cast("int").alias("parent_id"), text("mount_point").alias("mount_point"), "filesystem_type", verdict.alias("verdict"), values.mount_reason(F.col("filesystem_type"), verdict).alias("reason"),
+        values.mount_in_scope(point, F.col("mount_id"), "/srv", None).alias("in_scope"),
+    )
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, CAST(o_orderkey % 9000 AS BIGINT) AS s, CAST(round(o_totalprice * 100) AS BIGINT) AS n, o_orderkey % 5 AS k, o_orderkey % 2 AS m FROM orders)
+SELECT o_orderkey, CASE WHEN s < 60 THEN printf('%.1fs', CAST(s AS DOUBLE)) WHEN s < 3600 THEN CAST(s // 60 AS VARCHAR) || 'm' || CAST(s % 60 AS VARCHAR) || 's' ELSE CAST(s // 3600 AS VARCHAR) || 'h' || CAST(s % 3600 // 60 AS VARCHAR) || 'm' || CAST(s % 60 AS VARCHAR) || 's' END AS duration,
+       CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 1000000 THEN printf('%.1fk', n / 1e3) WHEN n < 1000000000 THEN printf('%.1fM', n / 1e6) ELSE printf('%.1fB', n / 1e9) END AS counted,
+       CASE WHEN k >= 3 AND m = 0 THEN 'high' WHEN k >= 2 THEN 'medium' ELSE 'low' END AS confidence, CASE k WHEN 0 THEN 'permission_denied' WHEN 1 THEN 'missing_path' WHEN 2 THEN 'not_a_directory' ELSE 'os_error' END AS error_kind,
+       CASE WHEN k = 0 AND m = 0 THEN 'running' WHEN k = 0 THEN 'failed' ELSE 'complete' END AS status, CASE WHEN s > 0 THEN round((10000 - s) * 8.0 / s, 6) END AS eta_seconds,
+       CASE WHEN k % 2 = 0 THEN greatest(s - 600, 0) ELSE s END AS age_seconds FROM o"""
+)
+def value_functions(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    s, k, m = key % 9000, key % 5, key % 2
+    names = F.element_at(F.array(*map(F.lit, ("PermissionError", "FileNotFoundError", "NotADirectoryError", "OSError", "Other"))), (k + 1).cast("int"))
+    start = F.timestamp_seconds(F.lit(1_700_000_000).cast("long"))
+    return ad.table(spark, sf, "orders").select(
+        "o_orderkey", values.humanize_duration(s.cast("double")).alias("duration"), values.humanize_count(ad.cents("o_totalprice")).alias("counted"), values.confidence(k, m).alias("confidence"), values.error_kind(names).alias("error_kind"),
+        values.status(F.when(k == 0, "failed").otherwise("complete"), F.when(m == 1, "x")).alias("status"), F.round(values.eta_seconds(s.cast("double"), F.lit(10000.0), F.lit(8.0)), 6).alias("eta_seconds"),
+        values.age_seconds(F.timestamp_seconds(F.unix_seconds(start) + s), F.timestamp_seconds(F.unix_seconds(start) + F.when(k % 2 == 0, 600).otherwise(0))).alias("age_seconds"),
+    )
 
 
 @query(f"WITH {TREND_SQL}, r AS (SELECT row_number() OVER (ORDER BY gross_growth DESC, net DESC, path) AS rank, path FROM tr WHERE path <> '/' ORDER BY rank LIMIT 30), up AS (SELECT l.path, l.rank, max_by(a.path, length(a.path)) FILTER (a.rank < l.rank) AS chain_parent FROM r l LEFT JOIN r a ON starts_with(l.path, a.path || '/') GROUP BY 1, 2) SELECT path, rank, chain_parent, CASE WHEN chain_parent IS NOT NULL AND path IN (SELECT chain_parent FROM up) THEN 'intermediate' WHEN chain_parent IS NOT NULL THEN 'leaf' WHEN path IN (SELECT chain_parent FROM up WHERE chain_parent IS NOT NULL) THEN 'ancestor' ELSE 'standalone' END AS role FROM up")

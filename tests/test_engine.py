@@ -259,6 +259,8 @@ def test_values(spark):
     one = spark.range(1)
     shown = one.select(values.humanize_bytes(F.lit(512)), values.humanize_bytes(F.lit(-1536)), values.humanize_count(F.lit(1500)), values.humanize_duration(F.lit(59.96)), values.humanize_duration(F.lit(3725.0)), values.eta_seconds(F.lit(0.0), F.lit(9.0), F.lit(3.0))).first()
     assert tuple(shown) == ("512 B", "-1.5 KiB", "1.5k", "60.0s", "1h2m5s", None)
+    ties = one.select(values.humanize_bytes(F.lit(1280)), values.humanize_bytes(F.lit(1408)), values.humanize_count(F.lit(248850)), values.humanize_duration(F.lit(125.0)), values.humanize_bytes(F.lit(1023 * 1024))).first()
+    assert tuple(ties) == ("1.2 KiB", "1.4 KiB", "248.8k", "2m5s", "1023.0 KiB")
     assert values.parse_since("7d") == 604800 and parse_limit() == 20 and parse_depth("0") == 0
     for f, bad in ((values.parse_since, "0h"), (values.parse_since, "5w"), (parse_limit, "0"), (parse_limit, 1001), (parse_depth, 21)):
         with pytest.raises(ReportError):

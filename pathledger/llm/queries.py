@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, lm, mixing, packing, pii, quality, sharding, simhash, suffix_dedup
+from . import ann, chat, collocations, lm, mixing, packing, pii, quality, runs, sharding, simhash, suffix_dedup, warc
 from .common import cut, table
 
 
@@ -56,6 +56,20 @@ def op9_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_content_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"), warc.archive_path(spark))
+    return warc.digest_rows(warc.read_archive(spark, archive))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = runs.word_runs(table(spark, sf_dir, "documents"), plant=True, digests=True)
+    return got.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_length_buckets": op1_length_buckets,
     "op2_preference_format": op2_preference_format,
@@ -67,6 +81,9 @@ QUERIES = {
     "op8_byte_shards": op8_byte_shards,
     "op9_suffix_family": op9_suffix_family,
     "op10_quality_rules": op10_quality_rules,
+    "op11_content_archive": op11_content_archive,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
 
 
@@ -209,3 +226,46 @@ SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, "full" + 1)) AS e
 UNION ALL
 SELECT doc_id, domain, lang, source, n_tokens, "full" + 1, CAST(least(n_tokens, rest - start) AS BIGINT) FROM run WHERE start < rest
 """
+
+ORACLES["op11_content_archive"] = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform(range(4), lambda j:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, CAST(5 * g + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * j AS INT)) & 31 AS INT), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+"""
+
+ORACLES["op13_collocations"] = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)
+), f AS (
+  SELECT lang, words, g, count(*) AS n FROM (
+    SELECT lang, 1 AS words, unnest(w) AS g FROM pieces
+    UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) FROM pieces
+    UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)]) FROM pieces
+  ) GROUP BY ALL
+), total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+cand AS (SELECT lang, words, g, string_split(g, ' ') AS s, n AS a FROM f WHERE words >= 2 AND n >= {collocations.MIN_COUNT}),
+cuts AS (
+  SELECT lang, words, g, a, k, array_to_string(s[1:k], ' ') AS head, array_to_string(s[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, words)) AS k FROM cand)
+), scored AS (
+  SELECT c.lang, c.words, c.g, c.a, k, l.n AS l, r.n AS r, (1000000::HUGEINT * c.a * c.a) // (l.n::HUGEINT * r.n) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.g = c.head JOIN f r ON r.lang = c.lang AND r.g = c.rest
+), best AS (
+  SELECT lang, words, g, a, min({{'score': score, 'k': k, 'l': l, 'r': r}}) AS c FROM scored GROUP BY ALL
+), inner_ AS (
+  SELECT lang, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS g, a AS around FROM cand WHERE words = 3
+), covered AS (SELECT lang, g, max(around) AS around FROM inner_ GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, b.g AS phrase, b.a, b.c.l AS l, b.c.r AS r, CAST(b.c.score AS BIGINT) AS score,
+         row_number() OVER (PARTITION BY b.lang ORDER BY b.c.score DESC, b.a DESC, b.g) AS rank
+  FROM best b LEFT JOIN covered USING (lang, g) WHERE around IS NULL OR 100 * around < {collocations.COVER_PERCENT} * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= {collocations.TOP}
+"""

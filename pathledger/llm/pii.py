@@ -9,11 +9,13 @@ script, and for names the gender that the title or the name tells.
 Attempt 0 is taken unless it collides: all distinct entities are checked together, and one whose
 surrogate is also an entity of the corpus, or taken by another, goes on to its next attempt, inside the same format. Before that
 the entities of each fixed format (digits of a phone, card or security number, addresses, secrets of one shape) are counted: where more than
-half of all its values are taken, an error says so, as no distinct ones could be found. Names have as many syllables as attempts ask for, and
-mail names may grow. After attempt WIDER addresses of small private networks go to the largest one. Almost all
+half of all its values are taken, an error says so, as no distinct ones could be found; only secrets of such a shape grow by letters. Names have as many syllables as attempts ask for, and
+mail names may grow. A secret has a letter or digit; signs alone are none. After attempt WIDER addresses of small private networks go to the largest one. Almost all
 entities keep attempt 0, which needs no table; the others' attempts are broadcast while
 their checked number is small, and else joined to their documents.
 
+Names are up to three capitalised words after a title, which end before the next title, or a common given name and the capitalised word after it.
+The words of a name found so are replaced wherever else they stand in the document, capitalised and without a title.
 A given name has the gender that any of its mentions in the document tells, so "Dr. Kim Lee" and "Mrs. Kim Lee" stay one person; the
 stem of its surrogate doesn't depend on the gender, only its ending does.
 
@@ -35,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, cut, fresh
 
 WIDER = 12
+#: Secrets of a shape with too few values start at this attempt, from which on they grow.
+GROW = 1_000
 #: More exceptions than this are joined instead of broadcast.
 BROADCAST_EXCEPTIONS = 20_000
 
@@ -72,13 +76,19 @@ COUNTRY = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]
 SPLIT_CARD = re.compile(r"\d{4}([ \-])\d{6}\1\d{4,5}(?!\d)")
 SSN = re.compile(r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])")
 _TITLES = [*MALE_TITLES, *FEMALE_TITLES, *OTHER_TITLES]
-NAME = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\b\.? ((?:[^\W\d_][\w'’\-]* ?){1,3})")
+TITLE = re.compile(r"\b(" + "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True)) + r")\b\.?(?=[ \u00a0])")
+WORD = re.compile(r"[^\W\d_][\w'’\-]*")
+NEXT_WORD = re.compile(r"[ \u00a0]{1,2}([^\W\d_][\w'’\-]*)")
 _KNOWN = {n.casefold(): g for (_, g), names in GIVEN.items() for n in names}
+_GIVEN = [n for names in GIVEN.values() for n in names]
 
 
-def session_key(spark: SparkSession) -> bytes:
-    """The secret key of the session's setting spark.pathledger.surrogateKey; where it isn't set, one for synthetic data alone."""
-    return spark.conf.get("spark.pathledger.surrogateKey", "for synthetic tables").encode()
+def session_key(spark: SparkSession, default: str | None = None) -> bytes:
+    """The secret key of the session's setting spark.pathledger.surrogateKey; an error if there is none and no default."""
+    found = spark.conf.get("spark.pathledger.surrogateKey", default)
+    if not found:
+        raise ValueError("set spark.pathledger.surrogateKey: surrogates need a secret key")
+    return found.encode()
 
 
 def _stream(kind: str, canon: str, attempt: int, key: bytes) -> Callable[[int], int]:
@@ -146,7 +156,8 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         letters = "".join(chr(97 + draw(26)) for _ in range(wider))
         return _scramble(local, draw) + letters + "@" + ".".join([*(_scramble(x, draw) for x in labels[:-kept]), *labels[-kept:]])
     if kind == "secret":
-        return _scramble(canon, draw, re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", canon) is not None)
+        letters = "".join(chr(97 + draw(6)) for _ in range(attempt - GROW + 8)) if attempt >= GROW else ""
+        return _scramble(canon, draw, re.fullmatch(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", canon) is not None) + letters
     _, script, gender = kind.split("_")
     if script == "other":
         start = ord(canon[0]) // 256 * 256
@@ -170,15 +181,22 @@ def _room(kind: Column, canon: Column) -> tuple[Column, Column]:
     return shape, F.coalesce(size, (digits - F.when(kind == "card", 2).otherwise(0)) * math.log(10.0) + letters * math.log(26.0))
 
 
-def _name_parts(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
-    title, at = m.group(1), m.start(2)
-    gender = "m" if title in MALE_TITLES else "f" if title in FEMALE_TITLES else "u"
-    found = []
-    for w in re.finditer(r"[^\s]+", m.group(2)):
-        word = w.group().rstrip("'’-")
-        if not word[:1].isupper():
+def _words_from(text: str, at: int) -> list[tuple[int, str]]:
+    """Up to three capitalised words from a place on, before any title; initials are passed over."""
+    found: list[tuple[int, str]] = []
+    while len(found) < 3:
+        m = NEXT_WORD.match(text, at)
+        if not m or not m[1][0].isupper() or m[1] in _TITLES:
             break
-        found.append((at + w.start(), word))
+        word, at = re.sub(r"['’][sS]$", "", m[1]).rstrip("'’-"), m.end()
+        if len(word) == 1 and text[at : at + 1] == ".":
+            at += 1
+            continue
+        found.append((m.start(1), word))
+    return found
+
+
+def _name_parts(found: list[tuple[int, str]], gender: str) -> Iterator[tuple[int, int, str, str]]:
     for i, (start, word) in enumerate(found):
         script, canon = script_of(word), word.casefold()
         if i < len(found) - 1:
@@ -190,6 +208,38 @@ def _name_parts(m: re.Match) -> Iterator[tuple[int, int, str, str]]:
             yield start, start + len(word), f"surname_{script}_u", canon
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Names after titles and after common given names, and their words wherever else they stand capitalised."""
+    got: list[tuple[int, int, str, str]] = []
+    if any(t in text for t in _TITLES):
+        for m in TITLE.finditer(text):
+            got += _name_parts(_words_from(text, m.end()), "m" if m[1] in MALE_TITLES else "f" if m[1] in FEMALE_TITLES else "u")
+    for n in _GIVEN:
+        at = text.find(n)
+        while at >= 0:
+            after = at + len(n)
+            if not text[at - 1 : at].isalnum() and (found := _words_from(text, after)):
+                # one word only: what follows may be another sentence's part
+                got += _name_parts([(at, n), found[0]], _KNOWN[n.casefold()])
+            at = text.find(n, after)
+    if not got:
+        return got
+    known: dict[str, str] = {}
+    for _, _, kind, canon in sorted(got):
+        known.setdefault(canon, kind)
+    spans = {(a, z) for a, z, _, _ in got}
+    for m in WORD.finditer(text):
+        if m[0][0].isupper() and m[0] not in _TITLES:
+            word = re.sub(r"['’][sS]$", "", m[0]).rstrip("'’-")
+            canon = word.casefold()
+            if canon not in known and canon.endswith(("ва", "на")) and known.get(canon[:-1], "").startswith("surname_cyrillic"):
+                canon = canon[:-1]
+            span = m.start(), m.start() + len(word)
+            if canon in known and span not in spans:
+                got.append((*span, known[canon], canon))
+    return got
+
+
 def _phones(text: str) -> Iterator[tuple[int, int]]:
     """Where phone numbers lie, without their country codes."""
     if "-" in text or "+" in text:
@@ -229,7 +279,8 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     if low and any(k in low for k in ("passw", "passphrase", "secret", "token", "key")):
         for m in SECRET.finditer(text):
             v = m.group(1)
-            got.append((*m.span(1), "secret", v.lower() if v in (v.lower(), v.upper()) else v))
+            if re.search("[A-Za-z0-9]", v):
+                got.append((*m.span(1), "secret", v.lower() if v in (v.lower(), v.upper()) else v))
     if digits:
         for m in IP.finditer(text):
             if all(int(x) < 256 for x in m.groups()):
@@ -245,9 +296,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 got.append((*m.span(), "card", d))
         if "-" in text:
             got += [(*m.span(), "ssn", re.sub(r"\D", "", m.group())) for m in SSN.finditer(text)]
-    if any(t in text for t in _TITLES):
-        for m in NAME.finditer(text):
-            got += _name_parts(m)
+    got += _names(text)
     got.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
     for g in got:
@@ -318,12 +367,17 @@ def exceptions(distinct: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.string())], [*b.schema.names, "new"])
 
     shape, size = _room(F.col("kind"), F.col("canon"))
-    full = distinct.select("kind", shape.alias("shape"), size.alias("size")).filter("shape is not null").groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
-    for r in full.filter(F.log(F.col("n") * 2) > F.col("size")).limit(1).collect():
+    shapes = distinct.select("kind", "canon", shape.alias("shape"), size.alias("size"))
+    full = shapes.filter("shape is not null").groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("size").alias("size")).filter(F.log(F.col("n") * 2) > F.col("size"))
+    full = cut(full)
+    for r in full.filter("kind <> 'secret'").limit(1).collect():
         raise ValueError(f"{r['n']} distinct entities of kind {r['kind']}, shape {r['shape']!r}, take more than half of its values: no distinct surrogates")
     room = F.substring_index("kind", "_", 1)
     all_ = distinct.select(room.alias("room"), F.col("canon").alias("new")).distinct()
     pending = distinct.withColumn("attempt", F.lit(0))
+    if full.limit(1).count():
+        grows = full.select("kind", "shape", F.lit(GROW).alias("attempt"))
+        pending = shapes.join(grows, ["kind", "shape"], "left").select("kind", "canon", F.coalesce("attempt", F.lit(0)).alias("attempt"))
     taken = None
     while True:
         tried = cut(pending.mapInArrow(run, "kind string, canon string, attempt int, new string").withColumn("room", room))

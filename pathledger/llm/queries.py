@@ -9,6 +9,10 @@ from . import ann, chat, collocations, lm, mixing, packing, pii, quality, runs,
 from .common import cut, table
 
 
+#: For the synthetic tables, where the session has no key of its own.
+SYNTHETIC_KEY = "for synthetic tables"
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -23,7 +27,7 @@ def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), pii.session_key(spark))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), pii.session_key(spark, SYNTHETIC_KEY))
 
 
 def op4_simhash_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,8 +62,18 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Compute df once, as a table in the shared folder: smaller there than a checkpoint."""
+def written(df: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """Compute df once, as a table in the shared folder: smaller there than a checkpoint. held: gets the table's path, for :func:`discard`."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, held: list[str]) -> None:
+    """Delete written tables that nothing reads any more; any file system of Hadoop."""
+    for path in held:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    held.clear()

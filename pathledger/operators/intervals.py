@@ -12,15 +12,37 @@ def _state(columns: list[str], of: DataFrame | None = None) -> Column:
     return F.struct(*[(of[c] if of is not None else F.col(c)) for c in columns])
 
 
-def snapshot_state(intervals: DataFrame, diagnostics: DataFrame, snapshots: DataFrame) -> DataFrame:
+def bound_places(bounds: DataFrame, ids: DataFrame) -> DataFrame:
+    """root_path, bound, place, next, total for each distinct bound (root_path, bound): how many ids of its root are smaller, the first that isn't, and all.
+
+    ids: root_path and id. Bounds are ids of snapshots, so there are as many at most as a root has had snapshots; these alone are sorted.
+    """
+    b = bounds.filter("bound is not null").distinct().select("root_path", F.col("bound").alias("at"), F.lit(None).cast("long").alias("id"))
+    both = b.unionByName(ids.select("root_path", F.col("id").alias("at"), F.col("id").cast("long").alias("id")).distinct())
+    w = Window.partitionBy("root_path").orderBy("at")
+    below, above = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(0, Window.unboundedFollowing)
+    got = both.select("root_path", "at", "id", F.count("id").over(below).alias("place"), F.min("id").over(above).alias("next"), F.count("id").over(Window.partitionBy("root_path")).alias("total"))
+    return got.filter("id is null").select("root_path", F.col("at").alias("bound"), "place", "next", "total")
+
+
+def snapshot_state(intervals: DataFrame, diagnostics: DataFrame, snapshots: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """The rows of each snapshot: complete ones out of intervals, others out of diagnostics.
 
-    Filter snapshots first: the join has the root as its key and the bounds as its rest.
+    An interval's bounds become places in the order of its root's asked snapshots, by joins on (root, bound); its places are then
+    counted out and joined to snapshots by (root, place). So an interval gives just the rows that it has, and those
+    that hold no asked snapshot none. candidates (root_path, path): only these paths, filtered before anything is counted out.
     """
     s = snapshots.select(F.col("id").alias("snapshot_id"), "root_path", "status")
-    complete = s.filter("status = 'complete'").drop("status")
-    upper = F.coalesce("valid_to_snapshot_id", F.lit(2**63 - 1))
-    held = intervals.join(complete, "root_path").filter((F.col("valid_from_snapshot_id") <= F.col("snapshot_id")) & (F.col("snapshot_id") < upper))
+    complete = s.filter("status = 'complete'").select("root_path", F.col("snapshot_id").alias("id"))
+    if candidates is not None:
+        intervals, diagnostics = (df.join(candidates.select("root_path", "path").distinct(), ["root_path", "path"], "left_semi") for df in (intervals, diagnostics))
+    bounds = intervals.select("root_path", F.explode(F.array("valid_from_snapshot_id", "valid_to_snapshot_id")).alias("bound"))
+    places = bound_places(bounds, complete)
+    low = places.select("root_path", F.col("bound").alias("valid_from_snapshot_id"), F.col("place").alias("_low"), F.col("total").alias("_total"))
+    high = places.select("root_path", F.col("bound").alias("valid_to_snapshot_id"), F.col("place").alias("_high"))
+    placed = intervals.join(low, ["root_path", "valid_from_snapshot_id"]).join(high, ["root_path", "valid_to_snapshot_id"], "left").withColumn("_high", F.coalesce("_high", "_total"))
+    order = complete.select("root_path", F.col("id").alias("snapshot_id"), (F.row_number().over(Window.partitionBy("root_path").orderBy("id")) - 1).cast("long").alias("_place"))
+    held = placed.filter("_low < _high").withColumn("_place", F.explode(F.sequence(F.col("_low"), F.col("_high") - 1))).join(order, ["root_path", "_place"])
     other = diagnostics.join(s.filter("status <> 'complete'").select("snapshot_id", F.col("root_path").alias("_root")), "snapshot_id").withColumn("root_path", F.col("_root"))
     columns = ["snapshot_id", "root_path", "path", *[c for c in STATE_COLUMNS if c in intervals.columns]]
     return held.select(columns).unionByName(other.select(columns))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pathledger.functions.values import utc
 from pathledger.model import RetentionPolicy
+from pathledger.operators.intervals import bound_places
 from pathledger.operators.selection import decoded
 
 
@@ -31,15 +32,17 @@ def retained(snapshots: DataFrame, now: datetime, policy: RetentionPolicy | None
 
 def rebound(intervals: DataFrame, kept: DataFrame) -> DataFrame:
     """Intervals over the retained complete snapshots (root_path, id) alone: those that cover none go, the others
-    begin with the first they cover and end at the first retained one at or after their end."""
-    ids = kept.select("root_path", "id").groupBy("root_path").agg(F.sort_array(F.collect_set("id")).alias("ids"))
-    rows = intervals.join(ids, "root_path")
-    end = F.coalesce("valid_to_snapshot_id", F.lit(2**63 - 1))
-    first = F.element_at(F.filter("ids", lambda i: (i >= F.col("valid_from_snapshot_id")) & (i < end)), 1)
-    stop = F.when(F.col("valid_to_snapshot_id").isNotNull(), F.get(F.filter("ids", lambda i: i >= F.col("valid_to_snapshot_id")), F.lit(0)))
-    cover = F.exists("ids", lambda i: (i >= F.col("valid_from_snapshot_id")) & (i < end))
-    rows = rows.filter(cover).withColumn("new_from", first).withColumn("new_to", stop)
-    return rows.drop("ids", "valid_from_snapshot_id", "valid_to_snapshot_id").withColumnsRenamed({"new_from": "valid_from_snapshot_id", "new_to": "valid_to_snapshot_id"}).select(intervals.columns)
+    begin with the first they cover and end at the first retained one at or after their end.
+
+    The distinct bounds of a root and its retained ids are sorted together once; intervals get their new bounds by joins on (root, bound)."""
+    bounds = intervals.select("root_path", F.explode(F.array("valid_from_snapshot_id", "valid_to_snapshot_id")).alias("bound"))
+    places = bound_places(bounds, kept).select("root_path", "bound", "next")
+    low = places.toDF("root_path", "valid_from_snapshot_id", "_low")
+    high = places.toDF("root_path", "valid_to_snapshot_id", "_high")
+    rows = intervals.join(low, ["root_path", "valid_from_snapshot_id"]).join(high, ["root_path", "valid_to_snapshot_id"], "left")
+    covers = F.col("_low").isNotNull() & (F.col("valid_to_snapshot_id").isNull() | (F.col("_low") < F.col("valid_to_snapshot_id")))
+    rows = rows.filter(covers).drop("valid_from_snapshot_id", "valid_to_snapshot_id")
+    return rows.withColumnsRenamed({"_low": "valid_from_snapshot_id", "_high": "valid_to_snapshot_id"}).select(intervals.columns)
 
 
 def orphan_paths(known: DataFrame, *references: tuple[DataFrame, str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathledger import adapters as ad
 from pathledger.functions import paths, values
-from pathledger.operators import diff, domains, frontier, grouping, intervals, reconcile, retention, rollup, selection, trends
+from pathledger.operators import descend, dictionary, diff, domains, frontier, grouping, intervals, links, reconcile, retention, rollup, selection, trends
 from pathledger.sources import parsers
 
 SINCE = 366 * 86_400
@@ -431,3 +431,102 @@ def contributors(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("root_path").orderBy(F.desc("gross_growth"), F.desc("net"), "path")
     ranked = _event_trends(spark, sf, 1000).filter(text("path") != "/").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 30")
     return frontier.contributor_roles(ranked.select("root_path", "path", "rank")).select(text("path").alias("path"), "rank", text("chain_parent").alias("chain_parent"), "role")
+
+
+@query("""WITH d AS (
+  SELECT '/c' || CAST(o_custkey AS VARCHAR) AS path, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) + 1 AS BIGINT) AS f, max(CAST(round(o_totalprice * 100) AS BIGINT)) AS disk_bytes FROM orders GROUP BY ALL
+), iv AS (SELECT *, lead(f) OVER (PARTITION BY path ORDER BY f) AS t FROM d), ids AS (SELECT unnest(range(1, 2557)) AS id)
+SELECT CAST(id AS BIGINT) AS snapshot_id, count(*) AS paths, CAST(sum(disk_bytes) AS BIGINT) AS disk_bytes FROM ids JOIN iv ON f <= id AND (t IS NULL OR id < t) WHERE id % 3 <> 0 GROUP BY id""")
+def interval_days(spark: SparkSession, sf: str) -> DataFrame:
+    """One root and thousands of snapshots: each customer's last order as its state, counted out for two of three days."""
+    day = (F.datediff("o_orderdate", F.lit("1992-01-01").cast("date")) + 1).cast("long")
+    rows = ad.table(spark, sf, "orders").groupBy(F.concat(F.lit("/c"), F.col("o_custkey").cast("string")).cast("binary").alias("path"), day.alias("valid_from_snapshot_id")).agg(F.max(ad.cents("o_totalprice")).alias("disk_bytes"))
+    after = F.lead("valid_from_snapshot_id").over(Window.partitionBy("path").orderBy("valid_from_snapshot_id"))
+    iv = rows.withColumn("root_path", F.lit("/")).withColumn("valid_to_snapshot_id", after)
+    snaps = spark.range(1, 2557).filter("id % 3 <> 0").select("id", F.lit("/").alias("root_path"), F.lit("complete").alias("status"))
+    none = iv.limit(0).select(F.lit(0).cast("long").alias("snapshot_id"), "root_path", "path", "disk_bytes")
+    return intervals.snapshot_state(iv, none, snaps).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("paths"), F.sum("disk_bytes").alias("disk_bytes"))
+
+
+@query("""WITH a AS (SELECT DISTINCT '/c' || CAST(o_custkey AS VARCHAR) AS path FROM orders WHERE o_orderstatus = 'F'),
+b AS (SELECT DISTINCT '/c' || CAST(o_custkey AS VARCHAR) AS path FROM orders UNION SELECT '/p' || CAST(l_partkey AS VARCHAR) FROM lineitem)
+SELECT row_number() OVER (ORDER BY path) AS id, path FROM a
+UNION ALL SELECT (SELECT count(*) FROM a) + row_number() OVER (ORDER BY path), path FROM b WHERE path NOT IN (SELECT path FROM a)""")
+def path_dictionary(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids after two batches of paths and the first batch again."""
+    o = ad.table(spark, sf, "orders")
+    path = lambda df, c, k: df.select(F.concat(F.lit(f"/{k}"), F.col(c).cast("string")).cast("binary").alias("path"))
+    first, all_ = path(o.filter("o_orderstatus = 'F'"), "o_custkey", "c"), path(o, "o_custkey", "c").unionByName(path(ad.table(spark, sf, "lineitem"), "l_partkey", "p"))
+    got = spark.createDataFrame([], dictionary.SCHEMA)
+    for batch in (first, all_, first):
+        got = dictionary.extend(got, batch)
+    return got.select("id", text("path").alias("path"))
+
+
+_MOUNT_KINDS = [(0, "8:0", "ext4", "/"), (1, "8:1", "xfs", "/x"), (2, "8:1", "xfs", "/x"), (3, "0:3", "tmpfs", "/t"), (4, "8:4", "ext4", "/y")]
+_DIRS_SQL = """c AS (SELECT c_custkey AS k, n_nationkey AS n, n_regionkey AS r, c_custkey % 50 AS b FROM customer JOIN nation ON c_nationkey = n_nationkey),
+dirs AS (
+  SELECT '/' AS path, CAST(NULL AS VARCHAR) AS up, 0 AS device, 0 AS inode, 0 AS mount_id
+  UNION SELECT '/r' || r, '/', r % 2, 100 + r, r % 3 FROM c
+  UNION SELECT '/r' || r || '/n' || n, '/r' || r, r % 2, 200 + n, CASE WHEN n % 3 = 0 THEN n % 5 ELSE r % 3 END FROM c
+  UNION SELECT '/r' || r || '/n' || n || '/b' || b, '/r' || r || '/n' || n, CASE WHEN b % 9 = 0 THEN 1 ELSE r % 2 END, CASE WHEN b % 10 = 0 THEN 100 + r ELSE 1000 + n * 50 + b END, CASE WHEN b % 4 = 0 THEN b % 5 WHEN b % 4 = 1 THEN NULL ELSE 4 END FROM c
+  UNION SELECT '/r' || r || '/n' || n || '/b' || b || '/k' || k, '/r' || r || '/n' || n || '/b' || b, r % 2, CASE WHEN k % 11 = 0 THEN 200 + n ELSE 10000 + k END, CASE WHEN k % 7 = 0 THEN 4 WHEN k % 7 = 1 THEN 0 END FROM c
+), m(mount_id, mm, kind, point) AS (VALUES """ + ", ".join(f"({i}, '{mm}', '{k}', '{p}')" for i, mm, k, p in _MOUNT_KINDS) + """),
+e AS (SELECT dirs.*, kind, CASE WHEN kind IS NOT NULL THEN mm || point END AS sign FROM dirs LEFT JOIN m USING (mount_id))"""
+
+
+@query(f"""WITH RECURSIVE {_DIRS_SQL}, walk AS (
+  SELECT path, 'root' AS verdict, CAST(NULL AS VARCHAR) AS reason, true AS ok, device AS root_device, mount_id, sign, [mount_id] AS ids, [sign] AS signs, [device || ':' || inode] AS keys FROM e WHERE path = '/'
+  UNION ALL
+  SELECT path, verdict, CASE verdict WHEN 'skipped_filesystem' THEN kind || ' skipped by default mount policy' WHEN 'separate_filesystem' THEN 'separate filesystem skipped by one-filesystem policy (root st_dev ' || root_device || ', child st_dev ' || device || ')'
+           WHEN 'mount_cycle' THEN 'bind mount cycle detected for mount_id ' || mount_id WHEN 'directory_cycle' THEN 'bind mount cycle detected for device/inode ' || device || ':' || inode ELSE coalesce(kind || ' included', 'no mount classification available') END,
+         verdict = 'included', root_device, mount_id, sign, list_append(ids, mount_id), list_append(signs, sign), list_append(keys, device || ':' || inode)
+  FROM (SELECT e.*, root_device, ids, signs, keys, CASE WHEN kind = 'tmpfs' THEN 'skipped_filesystem' WHEN e.device <> root_device THEN 'separate_filesystem'
+      WHEN e.mount_id IS NOT NULL AND NOT coalesce(e.mount_id = walk.mount_id AND e.sign = walk.sign, false) AND (list_contains(ids, e.mount_id) OR list_contains(signs, e.sign)) THEN 'mount_cycle'
+      WHEN list_contains(keys, e.device || ':' || e.inode) THEN 'directory_cycle' ELSE 'included' END AS verdict FROM walk JOIN e ON e.up = walk.path WHERE walk.ok)
+)
+SELECT e.path, coalesce(verdict, 'unreached') AS verdict, reason FROM e LEFT JOIN walk USING (path)""")
+def descend_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each directory of a tree of customers with its verdict, over mounts that repeat and inodes that come again below themselves."""
+    return descend.descend_verdicts(_customer_dirs(spark, sf), one_filesystem=True).select(text("path").alias("path"), "verdict", "reason")
+
+
+def _customer_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    c = ad.table(spark, sf, "customer").join(ad.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = c.select(F.col("c_custkey").cast("long").alias("k"), F.col("n_nationkey").cast("long").alias("n"), F.col("n_regionkey").cast("long").alias("r"), (F.col("c_custkey") % 50).cast("long").alias("b"))
+    levels = [
+        ("concat('/r', r)", "r % 2", "100 + r", "r % 3"), ("concat('/r', r, '/n', n)", "r % 2", "200 + n", "if(n % 3 = 0, n % 5, r % 3)"),
+        ("concat('/r', r, '/n', n, '/b', b)", "if(b % 9 = 0, 1, r % 2)", "if(b % 10 = 0, 100 + r, 1000 + n * 50 + b)", "case b % 4 when 0 then b % 5 when 1 then null else 4 end"),
+        ("concat('/r', r, '/n', n, '/b', b, '/k', k)", "r % 2", "if(k % 11 = 0, 200 + n, 10000 + k)", "case k % 7 when 0 then 4 when 1 then 0 end"),
+    ]
+    rows = spark.createDataFrame([("/", 0, 0, 0)], "t string, device long, inode long, mount_id long")
+    for t, device, inode, mount in levels:
+        rows = rows.unionByName(c.selectExpr(f"{t} as t", f"cast({device} as long) as device", f"cast({inode} as long) as inode", f"cast({mount} as long) as mount_id").distinct())
+    m = spark.createDataFrame([(i, mm, k, bytearray(b"/"), bytearray(p.encode())) for i, mm, k, p in _MOUNT_KINDS], "mount_id long, major_minor string, filesystem_type string, mount_root binary, mount_point binary")
+    return rows.join(F.broadcast(m), "mount_id", "left").select(F.lit("/").alias("root_path"), paths.to_bytes(F.col("t")).alias("path"), "device", "inode", "mount_id", "filesystem_type", "major_minor", "mount_root", "mount_point")
+
+
+LINK_CAP = 500
+
+
+@query(f"""WITH f AS (
+  SELECT '/s' || l_suppkey % 20 AS d1, CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN NULL ELSE '/q' || l_suppkey % 3 END AS d2, '/f' || l_orderkey || '.' || l_linenumber AS nm, l_partkey AS inode, l_orderkey % 4 = 0 AS lone FROM lineitem
+), e AS (
+  SELECT d1, coalesce(d1 || d2, d1) AS up, d1 || coalesce(d2, '') || nm AS path, replace(d1 || coalesce(d2, '') || nm, '/', chr(1)) AS key, inode, lone FROM f
+), firsts AS (SELECT inode, min(key) AS first FROM e WHERE NOT lone GROUP BY inode),
+late AS (SELECT inode FROM (SELECT *, row_number() OVER (ORDER BY first) AS n FROM firsts) WHERE n > {LINK_CAP}),
+o AS (SELECT *, NOT lone AND inode IN (SELECT inode FROM late) AS over FROM e), stops AS (SELECT up, min(key) AS stop FROM o WHERE over GROUP BY up),
+s AS (SELECT o.*, coalesce(key > own.stop, false) OR (o.up <> d1 AND coalesce(replace(o.up, '/', chr(1)) > top.stop, false)) AS skipped FROM o LEFT JOIN stops own ON own.up = o.up LEFT JOIN stops top ON top.up = d1)
+SELECT up AS directory, count(*) FILTER (NOT skipped) AS seen, count(*) FILTER (skipped) AS skipped, min(path) FILTER (over AND NOT skipped) AS stopped_at FROM s GROUP BY up""")
+def link_cap(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as files whose parts are inodes; beyond LINK_CAP inodes directories are given up."""
+    li = ad.table(spark, sf, "lineitem")
+    low = F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0), "").otherwise(F.concat(F.lit("/q"), (F.col("l_suppkey") % 3).cast("string")))
+    t = F.concat(F.lit("/s"), (F.col("l_suppkey") % 20).cast("string"), low, F.lit("/f"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    files = li.select(t.alias("t"), F.when(F.col("l_orderkey") % 4 == 0, 1).otherwise(2).cast("long").alias("nlink"), F.col("l_partkey").cast("long").alias("inode"), F.lit("file").alias("kind"))
+    dirs = files.select(F.explode(paths.ancestors_t(F.col("t"))).alias("t")).distinct().select("t", F.lit(1).cast("long").alias("nlink"), F.lit(0).cast("long").alias("inode"), F.lit("directory").alias("kind"))
+    rows = files.unionByName(dirs).select(F.lit("/").alias("root_path"), paths.to_bytes(F.col("t")).alias("path"), "kind", "nlink", F.lit(1).cast("long").alias("device"), "inode")
+    got = links.link_limit(rows, LINK_CAP)
+    stops = links.abandoned(got).select(text("directory").alias("directory"), text("path").alias("stopped_at"))
+    sums = got.filter("kind = 'file'").groupBy(text(paths.parent(F.col("path"))).alias("directory")).agg(F.count_if(~F.col("skipped")).alias("seen"), F.count_if("skipped").alias("skipped"))
+    return sums.join(stops, "directory", "left").select("directory", "seen", "skipped", "stopped_at")

@@ -16,9 +16,13 @@ SIZE_FACTORS = {"B": 1} | {f"{u}B": 1000 ** (i + 1) for i, u in enumerate("KMGTP
 SKIPPED_FILESYSTEMS = ["proc", "sysfs", "devtmpfs", "devpts", "tmpfs", "cgroup2", "pstore", "securityfs", "debugfs", "tracefs", "configfs", "fusectl", "nsfs"]
 
 
+def decimals(x: Column, n: int) -> Column:
+    """A double with n decimals, rounded by its exact value, real ties to even."""
+    return F.replace(F.format_number(x, n), F.lit(","), F.lit(""))
+
+
 def one_decimal(x: Column) -> Column:
-    """A double with one decimal, rounded by its exact value, real ties to even."""
-    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
+    return decimals(x, 1)
 
 
 def humanize_bytes(n: Column) -> Column:

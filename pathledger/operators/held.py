@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,23 @@ def numbered(df: DataFrame, name: str, order: list[str], within: list[str] | Non
     for c in ["_range", *within]:
         on = on & rows[c].eqNullSafe(named[f"_{c}"])
     return rows.join(named, on).select(*df.columns, (F.col("_start") + F.col("_own") + 1).cast("long").alias(name))
+
+
+def carried(df: DataFrame, marks: dict[str, Column], order: str, within: list[str]) -> DataFrame:
+    """df with the last value that is not null of each mark, in an order, at or before each row, for each value of the columns ``within``.
+
+    Rows lie in ranges of the order over the tasks, so one value of ``within`` can be of any size. Each range carries its own values
+    forward; what the ranges before hand on comes from one row for each range and group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["_range", *within]
+    rows = held(df.withColumns(marks).repartitionByRange(parts, *within, order).withColumn("_range", F.spark_partition_id()))
+    own = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*keys).agg(*[F.max_by(m, F.when(F.col(m).isNotNull(), F.col(order))).alias(m) for m in marks])
+    ends = ends.select(*[F.col(k).alias(f"_k{k}") for k in keys], *[F.last(m, True).over(before).alias(f"_before_{m}") for m in marks])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{k}"))
+    got = rows.select(*df.columns, "_range", *[F.last(m, True).over(own).alias(m) for m in marks]).join(ends, on)
+    return got.select(*df.columns, *[F.coalesce(m, f"_before_{m}").alias(m) for m in marks])

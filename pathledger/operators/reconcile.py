@@ -14,7 +14,7 @@ def df_index(totals: DataFrame, usage: DataFrame) -> DataFrame:
     """totals: of domain_totals. usage: domain, mount_point, total_bytes, free_bytes, capture_error.
 
     Unattributed bytes are used but not indexed; over-indexed ones the reverse. A mount of an overlay
-    that indexed nothing is another name of its storage, and has neither.
+    that indexed nothing is another name of its storage, and has neither (if its capacity is known).
     """
     zero = F.lit(0).cast("long")
     rows = totals.join(usage, "domain", "left").withColumn("stat_available", F.col("total_bytes").isNotNull() & F.col("capture_error").isNull())
@@ -25,7 +25,7 @@ def df_index(totals: DataFrame, usage: DataFrame) -> DataFrame:
     under = F.greatest(F.col("used_bytes") - F.col("disk_bytes"), zero)
     known = F.col("stat_available")
     rows = rows.withColumns({
-        "accounting_alias": F.coalesce(alias, F.lit(False)), "unattributed_bytes": F.when(known, F.when(alias, zero).otherwise(under)), "over_indexed_bytes": F.when(known, F.when(alias, zero).otherwise(over)),
+        "accounting_alias": known & F.coalesce(alias, F.lit(False)), "unattributed_bytes": F.when(known, F.when(alias, zero).otherwise(under)), "over_indexed_bytes": F.when(known, F.when(alias, zero).otherwise(over)),
         "used_ratio": F.when(known, ratio(F.col("used_bytes"), F.col("total_bytes"))), "scope_extends": (F.size("roots") > 0) & F.forall("roots", lambda r: strictly_under_t(r, F.col("mount_point"))),
     })
     rows = rows.withColumns({"unattributed_ratio": ratio(F.col("unattributed_bytes"), F.col("used_bytes")), "over_indexed_ratio": ratio(F.col("over_indexed_bytes"), F.col("used_bytes"))})

@@ -4,30 +4,40 @@ from __future__ import annotations
 
 import json
 import threading
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathledger.functions.values import parse_since
+from pathledger.functions import paths
+from pathledger.functions.values import confidence, parse_since
 from pathledger.model import ReportError, parse_depth, parse_grouping, parse_limit
-from pathledger.operators import diff, domains, frontier, grouping, reconcile, selection, trends
+from pathledger.operators import antichain, diff, domains, frontier, grouping, pressure, reconcile, selection, trends
 from pathledger.sources.store import Store
 
 
 @contextmanager
 def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
-    """Cancel the jobs started inside when time is up."""
-    group, late = f"deadline-{id(object())}", threading.Event()
-
-    def stop() -> None:
-        late.set()
-        spark.sparkContext.cancelJobGroup(group)
-
-    spark.sparkContext.setJobGroup(group, "query", interruptOnCancel=True)
-    timer = threading.Timer(seconds, stop)
-    timer.start()
+    """Stop the jobs started inside, and only these, when time is up.
+
+    Jobs carry a tag of their own. A watchdog goes on cancelling after the time, as a report starts its jobs one after another.
+    """
+    sc, tag, late, done = spark.sparkContext, f"deadline-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        wait = seconds
+        while not done.wait(wait):
+            late.set()
+            sc.cancelJobsWithTag(tag)
+            wait = 0.2
+
+    sc.addJobTag(tag)
+    sc.setInterruptOnCancel(True)
+    watchdog = threading.Thread(target=watch, daemon=True)
+    watchdog.start()
     try:
         yield
     except Exception:
@@ -35,8 +45,22 @@ def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
             raise ReportError("query_timeout", f"stopped after {seconds:g} s") from None
         raise
     finally:
-        timer.cancel()
-        spark.sparkContext._jsc.clearJobGroup()
+        done.set()
+        watchdog.join()
+        sc.removeJobTag(tag)
+
+
+def timed(report):  # noqa: ANN001, ANN201
+    """A report under the deadline of its Reports, if there is one."""
+
+    @wraps(report)
+    def run(self: Reports, *args: object, **more: object) -> dict:
+        if self.seconds is None:
+            return report(self, *args, **more)
+        with deadline(self.spark, self.seconds):
+            return report(self, *args, **more)
+
+    return run
 
 
 def plain(value: object) -> object:
@@ -65,10 +89,10 @@ def error_payload(e: ReportError) -> dict:
 
 
 class Reports:
-    """The commands over a store."""
+    """The commands over a store; a report that takes longer than ``seconds`` (if given) stops with the error query_timeout."""
 
-    def __init__(self, store: Store):
-        self.store, self.spark = store, store.spark
+    def __init__(self, store: Store, seconds: float | None = None):
+        self.store, self.spark, self.seconds = store, store.spark, seconds
 
     def _pairs(self, since: str) -> tuple[DataFrame, list[dict]]:
         pairs, warnings = selection.resolve_pairs(self.store.table("snapshots"), parse_since(since))
@@ -87,22 +111,26 @@ class Reports:
         told = d.filter("group_warning is not null").select(F.col("group_warning").alias("code"), "root_path", F.hex("path").alias("path")).distinct().limit(1000)
         return pairs, d, warnings + rows_of(told)
 
+    @timed
     def top(self, selector: str = "latest", limit: object = None, group_by: str = "root") -> dict:
         n = parse_limit(limit)
         chosen = selection.select_snapshots(self.store.table("snapshots"), selector)
         rows = diff.top_rows(self.store.state(chosen), chosen.select(F.col("id").alias("snapshot_id")), n)
         return {"snapshots": rows_of(chosen), "rows": rows_of(grouping.with_group(rows, parse_grouping(group_by), self.store.table("mounts")).orderBy("snapshot_id", "rank"))}
 
+    @timed
     def snapshots(self, limit: object = 10) -> dict:
         s = self.store.table("snapshots")
         return {"snapshots": rows_of(grouping.snapshot_summaries(s, self.store.state(), parse_limit(limit)))}
 
+    @timed
     def diff(self, since: str = "24h", limit: object = None, group_by: str = "root") -> dict:
         n = parse_limit(limit)
         pairs, d, warnings = self._diff(since, group_by)
         front = diff.ordered(frontier.growth_frontier(d)).limit(n)
         return {"pairs": rows_of(pairs), "frontier": rows_of(front), "classification_counts": rows_of(grouping.classification_counts(d)), "warnings": warnings}
 
+    @timed
     def report(self, since: str = "24h", limit: object = None, group_by: str = "root", usage: DataFrame | None = None) -> dict:
         n = parse_limit(limit)
         pairs, d, warnings = self._diff(since, group_by)
@@ -111,13 +139,17 @@ class Reports:
             "pairs": rows_of(pairs), "frontier": rows_of(front), "frontier_totals": rows_of(grouping.frontier_totals(front)), "deleted": rows_of(diff.deleted_rows(d, n)),
             "classification_counts": rows_of(grouping.classification_counts(d)), "groups": rows_of(grouping.group_summary(d)), "warnings": warnings,
         }
-        return out | ({"pressure": self.df_vs_index(usage)["sections"][:4]} if usage is not None else {})
+        if usage is not None:
+            out["pressure"] = self._pressure(self._df_index(usage), grouping.group_summary(d) if group_by == "storage-domain" else None)
+        return out
 
+    @timed
     def deleted(self, since: str = "24h", limit: object = None) -> dict:
         n = parse_limit(limit)
         pairs, d, warnings = self._diff(since, "root")
         return {"pairs": rows_of(pairs), "deleted": rows_of(diff.deleted_rows(d, n)), "warnings": warnings}
 
+    @timed
     def explain_path(self, path: bytes, since: str = "24h", limit: object = None, depth: object = None) -> dict:
         n, levels = parse_limit(limit), parse_depth(depth)
         pairs, d, warnings = self._diff(since, "root")
@@ -129,30 +161,51 @@ class Reports:
         left = rest.first()
         return {"target": rows_of(rows.filter(F.col("path") == F.lit(path))), "children": rows_of(shown.orderBy("position")), "residual": left[0] if left else None, "apparent_residual": left[1] if left else None, "warnings": warnings}
 
-    def df_vs_index(self, usage: DataFrame, limit: object = None) -> dict:
-        """usage: as reconcile.df_index takes it, from sources.inventory.capacity or elsewhere."""
+    def _df_index(self, usage: DataFrame) -> DataFrame:
         chosen = selection.select_snapshots(self.store.table("snapshots"))
-        totals = domains.domain_totals(self.store.state(chosen), chosen, self.store.table("mounts"))
-        found = reconcile.df_index(totals, usage).persist()
+        return reconcile.df_index(domains.domain_totals(self.store.state(chosen), chosen, self.store.table("mounts")), usage).persist()
+
+    def _pressure(self, found: DataFrame, growth: DataFrame | None = None, open_totals: DataFrame | None = None, categories: DataFrame | None = None) -> dict:
+        sections, summary = pressure.pressure_summary(found, growth, open_totals, categories)
+        shown = sections.orderBy("rank").select("rank", "domain", "mount_point", "stat_available", "used_bytes", "disk_bytes", "unattributed_bytes", "over_indexed_bytes", "used_ratio", "growth", "statuses", "facts", "next_checks", "hints", "truncated")
+        return {"sections": rows_of(shown)} | rows_of(summary)[0]
+
+    @timed
+    def df_vs_index(self, usage: DataFrame, limit: object = None, open_totals: DataFrame | None = None, categories: DataFrame | None = None) -> dict:
+        """usage: as reconcile.df_index takes it, from sources.inventory.capacity or elsewhere; open_totals, categories: as pressure.with_context does."""
+        found = self._df_index(usage)
         shown = reconcile.ranked_sections(found, parse_limit(limit))
-        return {"sections": rows_of(shown), "summary": rows_of(reconcile.section_totals(shown))[0], "pressure": rows_of(reconcile.pressure_sections(found))}
+        out = {"sections": rows_of(shown), "summary": rows_of(reconcile.section_totals(shown))[0], "pressure": self._pressure(found, None, open_totals, categories)}
+        found.unpersist()
+        return out
 
-    def investigate(self, since: str = "14d", limit: object = None) -> dict:
-        """Trends and their chains; roots only if there is nothing else."""
+    @timed
+    def investigate(self, since: str = "14d", limit: object = None, usage: DataFrame | None = None) -> dict:
+        """Trends with their chains and the confidence in them, what to look at next, and what the samples can't show; roots only if there is nothing else."""
         n, window = parse_limit(limit), parse_since(since)
         s = selection.trend_snapshots(self.store.table("snapshots"), window)
-        found = trends.path_trends(self.store.state(s), s, n * 5, max(n * 25, 100))
+        found = trends.path_trends(self.store.state(s), s, n * 5, max(n * 25, 100)).withColumn("confidence", confidence(F.col("sample_count"), F.col("missing_count")))
         ranked = [(k, r) for k, r in enumerate(found.collect(), 1)]
         below = [(k, r) for k, r in ranked if bytes(r["path"]).decode("latin-1") != r["root_path"]] or ranked
-        keys = self.spark.createDataFrame([(r["root_path"], bytearray(r["path"]), k) for k, r in below[:n]], "root_path string, path binary, rank long")
+        below = below[:n]
+        keys = self.spark.createDataFrame([(r["root_path"], bytearray(r["path"]), k) for k, r in below], "root_path string, path binary, rank long")
         roles = {(r["root_path"], bytes(r["path"])): r["role"] for r in frontier.contributor_roles(keys).collect()}
-        rows = [plain(r) | {"rank": k, "role": roles[r["root_path"], bytes(r["path"])]} for k, r in below[:n]]
-        actions: list[str] = []
-        for _, r in below[:n]:  # at most three paths, none inside another
-            t = bytes(r["path"]).decode("latin-1")
-            if len(actions) < 3 and not any(t.startswith(a + "/") or a.startswith(t + "/") or a == t for a in actions):
-                actions.append(t)
-        return {"contributors": rows, "filesystems": rows_of(trends.pressure_trends(self.store.table("filesystems"), s, n)), "next_paths": actions}
+        rows = [plain(r) | {"rank": k, "role": roles[r["root_path"], bytes(r["path"])]} for k, r in below]
+        proposed = antichain.next_paths(keys.withColumn("depth", paths.depth_t(paths.to_text(F.col("path"))))).orderBy("position").collect()
+        out = {
+            "contributors": rows, "filesystems": rows_of(trends.pressure_trends(self.store.table("filesystems"), s, n)), "next_paths": [bytes(r["path"]).decode("utf-8", "surrogateescape") for r in proposed],
+        }
+        codes: list[str] = []
+        if usage is not None:
+            index = self._df_index(usage)
+            out["pressure"] = self._pressure(index)
+            codes = out["pressure"]["hint_codes"]
+            index.unpersist()
+        partial = {r["id"] for r in s.filter("status = 'partial'").select("id").collect()}
+        spots = [
+            ("missing_path_samples", any(r["missing_count"] > 0 for _, r in below)), ("partial_snapshot_evidence", any(x["snapshot_id"] in partial for _, r in below for x in r["samples"])), ("current_index_gap", bool(codes)),
+        ]
+        return out | {"blind_spots": [{"code": code} | ({"hint_codes": codes} if code == "current_index_gap" else {}) for code, there in spots if there]}
 
     def prune(self, now, policy=None) -> dict:  # noqa: ANN001
         return self.store.prune(now, policy)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pathledger import adapters as ad
 from pathledger.functions import paths, values
-from pathledger.operators import descend, dictionary, diff, domains, frontier, grouping, intervals, links, reconcile, retention, rollup, selection, trends
+from pathledger.operators import antichain, descend, dictionary, diff, domains, frontier, grouping, intervals, links, pressure, reconcile, retention, rollup, selection, trends
 from pathledger.sources import parsers
 
 SINCE = 366 * 86_400
@@ -530,3 +530,82 @@ def link_cap(spark: SparkSession, sf: str) -> DataFrame:
     stops = links.abandoned(got).select(text("directory").alias("directory"), text("path").alias("stopped_at"))
     sums = got.filter("kind = 'file'").groupBy(text(paths.parent(F.col("path"))).alias("directory")).agg(F.count_if(~F.col("skipped")).alias("seen"), F.count_if("skipped").alias("skipped"))
     return sums.join(stops, "directory", "left").select("directory", "seen", "skipped", "stopped_at")
+
+
+# Filesystems out of suppliers: what they hold, which part of them is indexed and what they report follow rules on ids.
+_FS_SQL = """h AS (SELECT l_suppkey AS s, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) * 1000 AS BIGINT) AS held, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_linenumber WHEN l_returnflag = 'A' THEN -l_linenumber ELSE 0 END) AS BIGINT) AS grown FROM lineitem GROUP BY 1),
+x AS (SELECT s, '8:' || s || CASE WHEN s % 11 = 0 THEN '|/|overlay|overlay' ELSE '|/|ext4|/dev/s' || s END AS domain, CASE WHEN s % 11 = 0 THEN 0 ELSE held END AS disk, held * (6 + s % 7) // 8 AS used, s % 13 <> 0 AND s % 17 <> 0 AS known, CASE WHEN s % 13 <> 0 AND s % 17 = 0 THEN 'statvfs failed' END AS failed,
+      s % 4 = 0 AS wide, s % 5 = 0 AS part, CASE WHEN s % 3 = 0 THEN 0 ELSE grown END AS growth FROM h),
+y AS (SELECT *, used * (20 + s % 9) // 20 AS total, s % 11 = 0 AND known AS alias, CASE WHEN NOT known THEN 0 WHEN s % 11 = 0 THEN 0 ELSE greatest(used - disk, 0) END AS under, CASE WHEN NOT known OR s % 11 = 0 THEN 0 ELSE greatest(disk - used, 0) END AS over FROM x),
+z AS (SELECT *, known AND under > 0 AND under >= 1073741824 AND under / CAST(used AS DOUBLE) >= 0.05 AS gap, CASE WHEN known AND total <> 0 THEN used / CAST(total AS DOUBLE) END AS share FROM y WHERE NOT alias)"""
+_LADDER_SQL = """c AS (SELECT min_by(l_returnflag, l_returnflag) AS category, arg_min(r, l_returnflag) AS r FROM (SELECT l_returnflag, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_quantity END) AS BIGINT) AS r FROM lineitem GROUP BY 1) WHERE r <> 0),
+o AS (SELECT {open} AS open_bytes {of}),
+w AS (SELECT z.*, NOT gap AND known AND over > 0 AS skew, gap AND ((NOT wide AND NOT part) OR coalesce(open_bytes, 0) > 0) AS held_open, category, r FROM z, c, o),
+f AS (SELECT *, list_filter([CASE WHEN NOT known THEN 'evidence: live filesystem stat unavailable (' || coalesce(failed, 'unavailable') || '); indexed totals shown without a df comparison' END,
+  CASE WHEN known THEN 'evidence: df used ' || used || ' bytes vs indexed visible ' || disk || ' bytes' END, CASE WHEN known THEN printf('evidence: filesystem usage ratio %.3f', share) END,
+  CASE WHEN gap THEN 'likely reason: ' || under || ' bytes of filesystem usage are not attributed to indexed directories' END, CASE WHEN gap AND wide THEN 'likely reason: indexed roots cover only part of the filesystem; the remainder may be outside scanned scope' END,
+  CASE WHEN gap AND part THEN 'likely reason: selected snapshot evidence is non-complete; remainder cannot confirm deleted-open files alone' END, CASE WHEN held_open THEN 'likely reason: deleted-but-open files may still hold the missing space' END,
+  CASE WHEN skew THEN 'evidence: indexed totals exceed df used by ' || over || ' bytes (snapshot skew or stale index)' END,
+  CASE WHEN known AND NOT gap AND NOT skew AND share >= CAST(0.85 AS DOUBLE) THEN 'next check: filesystem is near capacity; consider evaluating an upgrade, data migration, or older-disk repurposing' END,
+  CASE WHEN growth > 0 THEN 'evidence: recent growth ' || growth || ' bytes from report frontier' END, 'evidence: docker ' || category || ' reclaimable ' || r || ' bytes'], lambda x: x IS NOT NULL) AS fs,
+  list_filter([CASE WHEN NOT known THEN 'df -h' END, CASE WHEN NOT known OR gap OR skew THEN 'df-vs-index --json' END, CASE WHEN held_open THEN 'deleted-open-files --json' END, 'docker-enrichment --json'], lambda x: x IS NOT NULL) AS cs,
+  list_filter([CASE WHEN NOT known THEN 'filesystem_stat_unavailable' END, CASE WHEN gap THEN 'unattributed_usage' END, CASE WHEN gap AND wide THEN 'filesystem_scope_extends_beyond_indexed_roots' END, CASE WHEN gap AND part THEN 'partial_snapshot_evidence' END, CASE WHEN held_open THEN 'deleted_open_file_suspected' END,
+  CASE WHEN skew THEN 'over_indexed_skew' END, CASE WHEN known AND NOT gap AND NOT skew AND share >= CAST(0.85 AS DOUBLE) THEN 'capacity_pressure' END], lambda x: x IS NOT NULL) AS hs FROM w)"""
+
+
+def _supplier_filesystems(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sections of df_index, growth by domain, reclaimable sizes by category)."""
+    rows = ad.table(spark, sf, "lineitem")
+    line = F.col("l_linenumber").cast("long")
+    grown = F.when(F.col("l_returnflag") == "R", line).when(F.col("l_returnflag") == "A", -line).otherwise(0)
+    s = rows.groupBy(F.col("l_suppkey").alias("s")).agg((F.sum(ad.cents("l_extendedprice")) * 1000).alias("held"), F.sum(grown).alias("disk_delta"))
+    n, every = F.col("s").cast("string"), lambda k: F.col("s") % k == 0
+    s = s.withColumn("domain", F.concat(F.lit("8:"), n, F.when(every(11), "|/|overlay|overlay").otherwise(F.concat(F.lit("|/|ext4|/dev/s"), n))))
+    point = F.concat(F.lit("/m"), n)
+    totals = s.select(
+        "domain", F.when(every(11), F.lit(0).cast("long")).otherwise(F.col("held")).alias("disk_bytes"), F.array(F.when(every(4), F.concat(point, F.lit("/x"))).otherwise(point)).alias("roots"),
+        F.when(every(5), F.array(F.lit("complete"), F.lit("partial"))).otherwise(F.array(F.lit("complete"))).alias("statuses"), F.lit(False).alias("clamped"),
+    )
+    usage = s.withColumn("used", F.expr("held * (6 + s % 7) div 8")).withColumn("total", F.expr("used * (20 + s % 9) div 20")).filter(~every(13)).select(
+        "domain", point.alias("mount_point"), F.when(~every(17), F.col("total")).alias("total_bytes"), F.when(~every(17), F.col("total") - F.col("used")).alias("free_bytes"), F.when(every(17), "statvfs failed").alias("capture_error")
+    )
+    growth = s.filter(~every(3)).select(F.col("domain").alias("group_key"), "disk_delta")
+    categories = rows.groupBy(F.col("l_returnflag").alias("category")).agg(F.sum(F.when(F.col("l_returnflag") == "A", 0).otherwise(F.col("l_quantity"))).cast("long").alias("reclaimable_bytes")).withColumn("position", F.col("category"))
+    return reconcile.df_index(totals, usage), growth, categories
+
+
+@query(f"WITH {_FS_SQL}, {_LADDER_SQL.format(open='CAST(NULL AS BIGINT)', of='')} SELECT domain, array_to_string(fs[1:5], chr(10)) AS facts, array_to_string(cs[1:5], chr(10)) AS next_checks, array_to_string(hs, chr(10)) AS hints, len(fs) > 5 AS truncated FROM f")
+def pressure_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is said of each filesystem, before the shortest summary is chosen."""
+    found, growth, categories = _supplier_filesystems(spark, sf)
+    rows = pressure.with_ladder(pressure.with_context(found.filter(~F.col("accounting_alias")), growth, None, categories))
+    return rows.select("domain", F.array_join("facts", "\n").alias("facts"), F.array_join("next_checks", "\n").alias("next_checks"), F.array_join("hints.code", "\n").alias("hints"), "truncated")
+
+
+@query(
+    f"""WITH {_FS_SQL}, {_LADDER_SQL.format(open="CAST(count(*) FILTER (l_returnflag = 'N') AS BIGINT)", of="FROM lineitem")}
+SELECT row_number() OVER (ORDER BY known DESC, under DESC, coalesce(share, 0) DESC, over DESC, domain) AS rank, domain, array_to_string(fs[1:5], chr(10)) AS facts, array_to_string(cs[1:5], chr(10)) AS next_checks, array_to_string(hs, chr(10)) AS hints, len(fs) > 5 AS truncated FROM f ORDER BY rank LIMIT 4"""
+)
+def pressure_summary(spark: SparkSession, sf: str) -> DataFrame:
+    found, growth, categories = _supplier_filesystems(spark, sf)
+    held_open = ad.table(spark, sf, "lineitem").agg(F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("total_bytes"))
+    rows, _ = pressure.pressure_summary(found, growth, held_open, categories)
+    return rows.select(F.col("rank").cast("long").alias("rank"), "domain", F.array_join("facts", "\n").alias("facts"), F.array_join("next_checks", "\n").alias("next_checks"), F.array_join("hints.code", "\n").alias("hints"), "truncated")
+
+
+_CHAINED_SQL = "(r.path <> {0}.path AND ({0}.path = '/' OR starts_with(r.path, {0}.path || '/') OR r.path = '/' OR starts_with({0}.path, r.path || '/')))"
+
+
+@query(
+    f"""WITH {ad.ORDERS_SQL}, r AS (SELECT snapshot_id, path, depth, row_number() OVER (PARTITION BY snapshot_id ORDER BY disk_bytes % 1009, path) AS rank FROM state), t AS (SELECT * FROM r WHERE rank = 1),
+p1 AS (SELECT r.* FROM r JOIN t ON r.snapshot_id = t.snapshot_id AND (r.rank = 1 OR (r.path <> t.path AND (t.path = '/' OR starts_with(r.path, t.path || '/')))) QUALIFY row_number() OVER (PARTITION BY r.snapshot_id ORDER BY r.depth DESC, length(r.path) DESC, r.path DESC) = 1),
+p2 AS (SELECT r.* FROM r JOIN p1 USING (snapshot_id) WHERE r.rank <> p1.rank AND NOT {_CHAINED_SQL.format("p1")} QUALIFY row_number() OVER (PARTITION BY r.snapshot_id ORDER BY r.rank) = 1),
+p3 AS (SELECT r.* FROM r JOIN p1 USING (snapshot_id) JOIN p2 USING (snapshot_id) WHERE r.rank <> p1.rank AND r.rank <> p2.rank AND NOT {_CHAINED_SQL.format("p1")} AND NOT {_CHAINED_SQL.format("p2")} QUALIFY row_number() OVER (PARTITION BY r.snapshot_id ORDER BY r.rank) = 1)
+SELECT snapshot_id, rank, path, 1 AS position FROM p1 UNION ALL SELECT snapshot_id, rank, path, 2 FROM p2 UNION ALL SELECT snapshot_id, rank, path, 3 FROM p3"""
+)
+def next_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The paths to look at next in each snapshot; ranks are spread, so that chains differ."""
+    state, _ = orders_cube(spark, sf)
+    rank = F.row_number().over(Window.partitionBy("snapshot_id").orderBy(F.col("disk_bytes") % 1009, "path"))
+    got = antichain.next_paths(state.select("snapshot_id", "path", "depth", rank.cast("long").alias("rank")), ["snapshot_id"])
+    return got.select("snapshot_id", "rank", text("path").alias("path"), "position")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pathledger.functions.values import parse_size, to_int
+from pathledger.operators.held import carried
 
 
 def unescape(text: Column) -> Column:
@@ -69,21 +70,34 @@ def cache_totals(entries: DataFrame) -> DataFrame:
 def open_files(outputs: DataFrame, value: str = "value") -> DataFrame:
     """Deleted files that processes hold open, out of NUL-delimited tagged fields.
 
-    A process's pid and command carry forward to its file records. outputs: one text a row, with
-    an id that tells outputs apart (column ``output``).
+    outputs: one text a row, with an id that tells outputs apart (column ``output``). For texts too large for a row see :func:`field_rows`.
     """
-    fields = outputs.select("output", F.posexplode(F.split(F.col(value), "\0")).alias("pos", "field")).withColumn("field", F.ltrim("field", F.lit("\n"))).filter("field <> ''")
-    fields = fields.select("output", "pos", F.substr("field", F.lit(1), F.lit(1)).alias("tag"), F.substr("field", F.lit(2)).alias("text"))
-    w = Window.partitionBy("output").orderBy("pos")
-    p = F.last(F.when(F.col("tag") == "p", F.col("text")), True).over(w)
-    proc = F.sum((F.col("tag") == "p").cast("int")).over(w)
-    file = F.sum((F.col("tag") == "f").cast("int")).over(w)
-    marked = fields.withColumns({"pid": p.try_cast("bigint"), "proc": proc, "file": file})
-    pick = lambda tag: F.max(F.when(F.col("tag") == tag, F.col("text")))
-    commands = marked.groupBy("output", "proc").agg(pick("c").alias("command"))
-    files = marked.filter(F.col("tag").isin("f", "t", "s", "n")).groupBy("output", "proc", "file", "pid").agg(pick("f").alias("fd"), pick("t").alias("kind"), pick("s").try_cast("bigint").alias("size_bytes"), pick("n").alias("name"))
-    got = files.filter("name is not null").join(commands, ["output", "proc"])
-    return got.select("output", "pid", "command", "fd", "kind", "size_bytes", F.regexp_replace("name", r" \(deleted\)$", "").alias("path"))
+    return open_fields(outputs.select("output", F.posexplode(F.split(F.col(value), "\0")).alias("pos", "field")))
+
+
+def field_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Fields of files of any size, for :func:`open_fields`; each file is an output, read in parts by many tasks."""
+    rows = spark.read.option("lineSep", "\0").text(path)
+    # rows of a part follow one another in one task
+    return rows.select(F.col("_metadata.file_path").alias("output"), F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row")).alias("pos"), F.col("value").alias("field"))
+
+
+def open_fields(fields: DataFrame) -> DataFrame:
+    """The same out of fields (output, pos, field), in the order of pos.
+
+    A process's pid and command hold for the file records after it. They are carried forward over ranges of positions, so one output can be
+    spread over many tasks.
+    """
+    rows = fields.withColumn("field", F.ltrim("field", F.lit("\n"))).filter("field <> ''")
+    rows = rows.select("output", "pos", F.substr("field", F.lit(1), F.lit(1)).alias("tag"), F.substr("field", F.lit(2)).alias("text"))
+    tag = F.col("tag")
+    rows = carried(rows, {"proc": F.when(tag == "p", F.struct("pos", F.col("text").alias("pid"))), "file": F.when(tag == "f", F.col("pos"))}, "pos", ["output"])
+    rows = rows.filter(tag.isin("c", "f", "t", "s", "n"))
+    pick = lambda x: F.max(F.when(tag == x, F.col("text")))
+    commands = rows.filter(tag == "c").groupBy(F.col("output").alias("_o"), F.col("proc.pos").alias("_p")).agg(F.max("text").alias("command"))
+    files = rows.filter(tag != "c").groupBy("output", "proc", "file").agg(pick("f").alias("fd"), pick("t").alias("kind"), pick("s").try_cast("bigint").alias("size_bytes"), pick("n").alias("name"))
+    got = files.filter("name is not null").join(commands, F.col("output").eqNullSafe(F.col("_o")) & F.col("proc.pos").eqNullSafe(F.col("_p")), "left")
+    return got.select("output", F.col("proc.pid").try_cast("bigint").alias("pid"), "command", "fd", "kind", "size_bytes", F.regexp_replace("name", r" \(deleted\)$", "").alias("path"))
 
 
 def open_file_totals(files: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:

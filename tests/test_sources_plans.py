@@ -1,4 +1,5 @@
 import json
+import threading
 from datetime import UTC, datetime
 
 import pytest
@@ -38,6 +39,50 @@ def test_open_files(spark):
     assert shown.first()["pid"] == 1059 and tuple(totals.first()) == (2, 77258199, True)
 
 
+def test_open_files_of_one_large_output(spark, tmp_path):
+    """One file read in many parts gives what the same text gives as one row."""
+    text = "".join(f"p{p}\0cc{p % 7}\0\n" + "".join(f"f{k}\0tREG\0s{p * k}\0n/d/{p}/{k} (deleted)\0\n" for k in range(p % 40)) for p in range(1, 400))
+    (tmp_path / "out").write_text(text)
+    one = parsers.open_files(spark.createDataFrame([("x", text)], "output string, value string"))
+    want = sorted(tuple(r)[1:] for r in one.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 16384)
+    try:
+        fields = parsers.field_rows(spark, str(tmp_path / "out"))
+        assert fields.rdd.getNumPartitions() > 3
+        got = parsers.open_fields(fields).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r)[1:] for r in got) == want and len(want) == sum(p % 40 for p in range(1, 400))
+    brute = sorted((p, f"c{p % 7}", str(k), "REG", p * k, f"/d/{p}/{k}") for p in range(1, 400) for k in range(p % 40))
+    assert want == brute
+
+
+def test_deadline_stops_its_own_jobs_alone(spark):
+    slow = "select sum(sqrt(id) * sin(id)) from range(0, {}, 1, 2)"
+    got = {}
+
+    def run(name, n, seconds):
+        try:
+            if seconds:
+                with reports.deadline(spark, seconds):
+                    spark.sql(slow.format(n)).collect()
+            else:
+                spark.sql(slow.format(n)).collect()
+            got[name] = "done"
+        except ReportError as e:
+            got[name] = e.code
+
+    jobs = [threading.Thread(target=run, args=a) for a in (("late", 10**12, 1.0), ("free", 10**7, None), ("early", 10**5, 60.0))]
+    for j in jobs:
+        j.start()
+    for j in jobs:
+        j.join(60)
+    assert got == {"late": "query_timeout", "free": "done", "early": "done"}
+    with reports.deadline(spark, 60):
+        pass
+    assert spark.range(3).count() == 3 and not spark.sparkContext.getJobTags()
+
+
 def test_config():
     c = config.parse_config('exclude_paths = ["/x//y/"]\n[[roots]]\npath = "/srv/"\n[collapse]\nnames = ["a"]\nnever = ["/srv/k"]\n')
     assert c.roots == ["/srv"] and c.exclude_paths == ["/x/y"] and c.collapse.names == ["a"]
@@ -76,6 +121,10 @@ def test_store_reports_and_prune(spark, tmp_path):
     assert r.snapshots()["snapshots"][0]["path_count"] == 3 and r.deleted("24h")["deleted"] == []
     got = r.investigate("14d")
     assert got["contributors"][0]["shape"] == "steady_growth" and got["next_paths"] == ["/srv/a", "/srv/b"]
+    assert [b["code"] for b in got["blind_spots"]] == ["partial_snapshot_evidence"] and {c["confidence"] for c in got["contributors"]} == {"high"}
+    with pytest.raises(ReportError) as e:
+        reports.Reports(store, 0.01).snapshots()
+    assert e.value.code == "query_timeout"
     for code, ask in (("path_outside_roots", lambda: r.explain_path(b"/etc", "24h")), ("invalid_since", lambda: r.diff("x")), ("invalid_group_by", lambda: r.diff("1h", group_by="x"))):
         with pytest.raises(ReportError) as e:
             ask()

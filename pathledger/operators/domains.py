@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathledger.functions import paths
 from pathledger.operators.grouping import with_domain
+from pathledger.operators.held import held
 
 
 def domain_totals(state: DataFrame, snapshots: DataFrame, mounts: DataFrame) -> DataFrame:
@@ -18,7 +19,7 @@ def domain_totals(state: DataFrame, snapshots: DataFrame, mounts: DataFrame) ->
     """
     keys = ["snapshot_id", "path"]
     s = snapshots.select(F.col("id").alias("snapshot_id"), F.col("root_path").alias("snapshot_root"), "status", "finished_at")
-    rows = with_domain(state.join(s, "snapshot_id"), mounts)
+    rows = held(with_domain(held(state.join(s, "snapshot_id")), mounts))  # read by each step
     up = paths.with_ancestors(rows.select(*keys), "path", "above")
     near = up.join(rows.select("snapshot_id", F.col("path").alias("above"), F.col("domain").alias("above_domain")), ["snapshot_id", "above"])
     near = near.groupBy(*keys).agg(F.max_by(F.struct("above_domain"), F.length("above")).alias("near"))

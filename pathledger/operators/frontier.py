@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pathledger.functions import paths
 from pathledger.functions.values import reason_text
 from pathledger.model import DOMINANCE
+from pathledger.operators.held import held
 
 SCOPE = ["root_path", "baseline_snapshot_id", "current_snapshot_id"]
 
@@ -24,16 +25,16 @@ def growth_frontier(diff: DataFrame) -> DataFrame:
     by the uppermost of these, which counts them.
     """
     keys = [*SCOPE, "path"]
-    rows = diff.filter(F.col("classification").isin("created", "grown") & (F.col("disk_delta") > 0)).persist()  # read by each step
+    rows = held(diff.filter(F.col("classification").isin("created", "grown") & (F.col("disk_delta") > 0)))  # read by each step
     low = rows.select(*SCOPE, F.col("path").alias("low_path"), F.col("disk_delta").alias("low_delta"), F.col("depth").alias("low_depth"))
     pairs = paths.with_ancestors(low, "low_path", "path").join(rows.select(*keys, "disk_delta"), keys)
     enough = pairs.filter(F.col("low_delta").cast("double") >= F.lit(DOMINANCE) * F.col("disk_delta"))
     best = Window.partitionBy(*keys).orderBy(F.desc("low_delta"), F.desc("low_depth"), "low_path")  # the first alone leaves each task
-    dominated = enough.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*keys, "low_path")
+    dominated = held(enough.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select(*keys, "low_path"))
     ups = dominated.groupBy(*SCOPE, F.col("low_path").alias("path")).agg(F.count(F.lit(1)).alias("suppressed_ancestor_count"))
-    left = rows.join(dominated.select(*keys), keys, "left_anti").persist()
+    left = rows.join(dominated.select(*keys), keys, "left_anti")
     above = paths.with_ancestors(left.select(*SCOPE, F.col("path").alias("low_path")), "low_path", "path").join(left.select(*keys, "depth"), keys)
-    cover = above.groupBy(*SCOPE, "low_path").agg(F.min_by("path", F.length("path")).alias("path"))
+    cover = held(above.groupBy(*SCOPE, "low_path").agg(F.min_by("path", F.length("path")).alias("path")))
     downs = cover.groupBy(*keys).agg(F.count(F.lit(1)).alias("suppressed_descendant_count"))
     kept = left.join(cover.select(*SCOPE, F.col("low_path").alias("path")), keys, "left_anti")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
@@ -47,10 +48,10 @@ def explain_breakdown(rows: DataFrame, target: bytes, limit: int, depth: int) ->
 
     Immediate children by growth, each followed by its descendants down to depth levels below the
     target; at most limit rows. residual: the target's change without the shown children's.
+    rows are read several times: explain_rows holds them.
     """
     t = target.decode("latin-1")
     p = paths.to_text(F.col("path"))
-    rows = rows.persist()
     extra = ["target_delta", "target_apparent", "target_depth"]
     goal = rows.filter(p == t).select(F.col("disk_delta").alias("target_delta"), F.col("apparent_delta").alias("target_apparent"), F.col("depth").alias("target_depth"))
     below = rows.filter((p != t) & (F.col("classification") != "unchanged")).join(F.broadcast(goal), F.lit(True))

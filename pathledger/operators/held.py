@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a side that is broadcast without a look at its bytes; for rows of a few numbers and a path.
+FEW = 10_000
+
 
 def held(df: DataFrame) -> DataFrame:
     """df as a checkpoint in spark.checkpoint.dir; where that is unset (tests), beside the warehouse."""
@@ -15,6 +18,11 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df, marked for a broadcast if it has, counted, at most ``most`` rows. Rows that are read again should be held."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def numbered(df: DataFrame, name: str, order: list[str], within: list[str] | None = None) -> DataFrame:
     """df with the place of each row (from 1) in an order, for each value of the columns ``within``.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pathledger import adapters as ad
 from pathledger.functions import paths, values
 from pathledger.operators import antichain, descend, dictionary, diff, domains, frontier, grouping, intervals, links, pressure, reconcile, retention, rollup, selection, trends
+from pathledger.operators.held import held
 from pathledger.sources import parsers
 
 SINCE = 366 * 86_400
@@ -32,8 +33,8 @@ def text(c: str | Column) -> Column:
 
 
 def orders_cube(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    state = ad.order_state(spark, sf)
-    return state, ad.snapshots_of(state)
+    state = held(ad.order_state(spark, sf))
+    return state, held(ad.snapshots_of(state))
 
 
 def orders_diff(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -138,7 +139,7 @@ LPM_SQL = "CASE WHEN path = '/ASIA' OR starts_with(path, '/ASIA/') THEN '8:16|/|
 
 def _current_groups(spark: SparkSession, sf: str, by: str) -> DataFrame:
     state, snaps, d = orders_diff(spark, sf)
-    return grouping.with_group(d.withColumn("snapshot_id", F.col("current_snapshot_id")), by, ad.mounts_of(snaps))
+    return grouping.with_group(held(d.withColumn("snapshot_id", F.col("current_snapshot_id"))), by, ad.mounts_of(snaps))
 
 
 @query(f"WITH {DIFF_SQL} SELECT path, {LPM_SQL} AS group_key FROM diff")

@@ -51,6 +51,20 @@ def test_diff_classes_and_order(spark):
     assert [bytes(r["path"]) for r in top] == [b"/srv", b"/srv/grow", b"/srv/bad-\xff-dir"]
 
 
+def test_pairs_share_snapshots_and_sides(spark):
+    s = state(spark, [(1, "/srv", 10), (1, "/srv/a", 4), (2, "/srv", 12), (2, "/srv/b", 3), (3, "/srv", 12), (3, "/srv/a", 5), (3, "/srv/b", 1)])
+    pairs = pair(spark, 1, 2).union(pair(spark, 2, 3)).union(pair(spark, 2, 2)).union(pair(spark, 1, 9)).union(pair(spark, 1, 2, "/other"))
+    d = diff.snapshot_diff(s, pairs).collect()
+    got = {(r["baseline_snapshot_id"], r["current_snapshot_id"], bytes(r["path"])): (r["classification"], r["disk_delta"]) for r in d}
+    assert len(d) == len(got) and {r["root_path"] for r in d} == {"/srv"}
+    assert got == {
+        (1, 2, b"/srv"): ("grown", 2), (1, 2, b"/srv/a"): ("deleted", -4), (1, 2, b"/srv/b"): ("created", 3),
+        (2, 3, b"/srv"): ("unchanged", 0), (2, 3, b"/srv/a"): ("created", 5), (2, 3, b"/srv/b"): ("shrunk", -2),
+        (2, 2, b"/srv"): ("unchanged", 0), (2, 2, b"/srv/b"): ("unchanged", 0), (1, 9, b"/srv"): ("deleted", -10), (1, 9, b"/srv/a"): ("deleted", -4),
+    }
+    assert diff.snapshot_diff(s.limit(0), pairs).count() == 0 and diff.snapshot_diff(s, pairs.limit(0)).count() == 0
+
+
 def test_deleted_below_a_folded_directory_is_hidden(spark):
     s = state(spark, [(1, "/srv", 200), (1, "/srv/cache", 80), (1, "/srv/cache/packages", 60), (1, "/srv/gone", 20), (2, "/srv", 100), (2, "/srv/cache", 80, 80, True)])
     d = diff.snapshot_diff(s, pair(spark, 1, 2))

@@ -464,7 +464,7 @@ def path_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("id", text("path").alias("path"))
 
 
-_MOUNT_KINDS = [(0, "8:0", "ext4", "/"), (1, "8:1", "xfs", "/x"), (2, "8:1", "xfs", "/x"), (3, "0:3", "tmpfs", "/t"), (4, "8:4", "ext4", "/y")]
+_DIR_MOUNTS = [(0, "8:0", "ext4", "/"), (1, "8:1", "xfs", "/x"), (2, "8:1", "xfs", "/x"), (3, "0:3", "tmpfs", "/t"), (4, "8:4", "ext4", "/y")]
 _DIRS_SQL = """c AS (SELECT c_custkey AS k, n_nationkey AS n, n_regionkey AS r, c_custkey % 50 AS b FROM customer JOIN nation ON c_nationkey = n_nationkey),
 dirs AS (
   SELECT '/' AS path, CAST(NULL AS VARCHAR) AS up, 0 AS device, 0 AS inode, 0 AS mount_id
@@ -472,7 +472,7 @@ dirs AS (
   UNION SELECT '/r' || r || '/n' || n, '/r' || r, r % 2, 200 + n, CASE WHEN n % 3 = 0 THEN n % 5 ELSE r % 3 END FROM c
   UNION SELECT '/r' || r || '/n' || n || '/b' || b, '/r' || r || '/n' || n, CASE WHEN b % 9 = 0 THEN 1 ELSE r % 2 END, CASE WHEN b % 10 = 0 THEN 100 + r ELSE 1000 + n * 50 + b END, CASE WHEN b % 4 = 0 THEN b % 5 WHEN b % 4 = 1 THEN NULL ELSE 4 END FROM c
   UNION SELECT '/r' || r || '/n' || n || '/b' || b || '/k' || k, '/r' || r || '/n' || n || '/b' || b, r % 2, CASE WHEN k % 11 = 0 THEN 200 + n ELSE 10000 + k END, CASE WHEN k % 7 = 0 THEN 4 WHEN k % 7 = 1 THEN 0 END FROM c
-), m(mount_id, mm, kind, point) AS (VALUES """ + ", ".join(f"({i}, '{mm}', '{k}', '{p}')" for i, mm, k, p in _MOUNT_KINDS) + """),
+), m(mount_id, mm, kind, point) AS (VALUES """ + ", ".join(f"({i}, '{mm}', '{k}', '{p}')" for i, mm, k, p in _DIR_MOUNTS) + """),
 e AS (SELECT dirs.*, kind, CASE WHEN kind IS NOT NULL THEN mm || point END AS sign FROM dirs LEFT JOIN m USING (mount_id))"""
 
 
@@ -503,7 +503,7 @@ def _customer_dirs(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.createDataFrame([("/", 0, 0, 0)], "t string, device long, inode long, mount_id long")
     for t, device, inode, mount in levels:
         rows = rows.unionByName(c.selectExpr(f"{t} as t", f"cast({device} as long) as device", f"cast({inode} as long) as inode", f"cast({mount} as long) as mount_id").distinct())
-    m = spark.createDataFrame([(i, mm, k, bytearray(b"/"), bytearray(p.encode())) for i, mm, k, p in _MOUNT_KINDS], "mount_id long, major_minor string, filesystem_type string, mount_root binary, mount_point binary")
+    m = spark.createDataFrame([(i, mm, k, bytearray(b"/"), bytearray(p.encode())) for i, mm, k, p in _DIR_MOUNTS], "mount_id long, major_minor string, filesystem_type string, mount_root binary, mount_point binary")
     return rows.join(F.broadcast(m), "mount_id", "left").select(F.lit("/").alias("root_path"), paths.to_bytes(F.col("t")).alias("path"), "device", "inode", "mount_id", "filesystem_type", "major_minor", "mount_root", "mount_point")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathledger.llm import mixing, near_copies, packing, pii, quality
+from pathledger.llm import mixing, near_copies, packing, pii, quality, simhash
 from pathledger.llm.common import discard, table, written
 from pathledger.llm.queries import SYNTHETIC_KEY
 
@@ -22,8 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, similarity 0.8 or more) one document stays."""
-    return near_copies.keep_one(docs)
+    """Of each group of near duplicates one document stays. Texts are linked by op4 (fingerprints of 3-word shingles that differ in 2 bits at
+    most, through vantage-point trees), and beyond that by an exact check of their 5-word shingles (similarity 0.8 or more)."""
+    return near_copies.keep_one(docs, simhash.text_links)
 
 
 def surrogate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

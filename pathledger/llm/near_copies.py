@@ -6,11 +6,12 @@ about three times in a million. Pairs that share a key are candidates, and are l
 
 1. each text with the smallest of those it shares keys with; texts that are linked are joined into components;
 2. of each key, the smallest text of each component in it with the key's smallest text, one pair for two components, ROUNDS times (no result depends on it);
-3. the pairs of texts that share a key and still lie in different components. These are compared by sketches first: SKETCH further minima,
-   a byte of each, of which a similar pair has at least AGREE equal but for one pair in a million. Large keys are compared in blocks of rows.
+3. the texts that share a key and still lie in different components. These are compared by sketches first: SKETCH further minima,
+   a byte of each, of which a similar pair has at least AGREE equal but for one pair in a million. Texts with such a partner are compared by the hashes of all
+   their shingles, in the same key. Large keys are compared in blocks of rows, and a block gives the links that join what is similar in it, fewer than it has texts.
 
-So a large family of near copies costs a few checks for each of its texts, no group is gathered whole or cut, and of a family whose members are
-near each other but not similar, only the pairs of sketches that agree become rows. Texts that share no key aren't read again.
+So a large family of near copies costs a few checks for each of its texts, no group is gathered whole or cut, and no pair becomes a row before it is
+known to be similar. Texts that share no key aren't read again.
 
 Texts of fewer words are one shingle; those without words all are the same. Null texts count as empty.
 """
@@ -18,13 +19,13 @@ Texts of fewer words are one shingle; those without words all are the same. Null
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut, discard, written
@@ -36,8 +37,8 @@ BANDS, ROWS = 32, 5
 SKETCH = 320
 #: Rounds of step 2; each joins most of what is alike, and the last step finds the rest.
 ROUNDS = 2
-#: Texts of a key that are compared with each other in one row.
-BLOCK = 2_048
+#: Texts of a key that are compared with each other in one row, and hashes of shingles.
+BLOCK, BLOCK_SHINGLES = 2_048, 1 << 21
 #: Text hashes are broadcast up to this number (8 bytes each).
 BROADCAST_TEXTS = 200_000
 
@@ -136,30 +137,100 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(moved.unionByName(upper.join(plain.select("node"), "node", "left_anti")))
 
 
+def _blocks(rows: DataFrame, share: Column) -> DataFrame:
+    """key, i, j, h, of, side: the rows (key, h, of) of each key in pairs of blocks; share: a row's part of a block. side: the row's block is
+    the first of the pair (0), the second (1) or both (0)."""
+    # a row goes to every pair of blocks that has its own
+    many = rows.groupBy("key").agg(F.ceil(F.sum(share)).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = rows.join(_few(cut(many)), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h"), "blocks").cast("int"))
+    other = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return other.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "h", "of", F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
+
+
+def _grouped(spread: DataFrame, marks: DataFrame) -> DataFrame:
+    """key, same (one block with itself) and group: what a pair of blocks holds, with the marks (h, mark) of its texts."""
+    groups = spread.join(marks, "h").groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "of", "side", "mark")).alias("group"))
+    return groups.select("key", (F.col("i") == F.col("j")).alias("same"), "group")
+
+
+def _others(i: int, same: bool, of: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Members of a group that are compared with its i-th: in other components, each pair once."""
+    return np.flatnonzero((of != of[i]) & ((np.arange(len(of)) < i) if same else (side > side[i])))
+
+
 def _agreeing(rooted: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs a > b that share a key, lie in different components and agree in their sketches."""
+    """key, h, of: the texts whose sketch agrees with that of another one, of the same key and a different component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            for same, group in zip(r.column("same").to_pylist(), r.column("group"), strict=True):
+            for key, same, group in zip(r.column("key").to_pylist(), r.column("same").to_pylist(), r.column("group"), strict=True):
                 g = group.values
                 h, of, side = (g.field(x).to_numpy(zero_copy_only=False) for x in ("h", "of", "side"))
                 marks = np.frombuffer(b"".join(g.field("mark").to_pylist()), np.uint8).reshape(len(h), SKETCH)
+                agrees = np.zeros(len(h), bool)
                 for i in range(len(h)):
-                    others = np.flatnonzero((of != of[i]) & ((np.arange(len(h)) < i) if same else (side > side[i])))
+                    others = _others(i, same, of, side)
                     others = others[(marks[others] == marks[i]).sum(axis=1) >= AGREE]
-                    if len(others):
-                        a = np.full(len(others), h[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, h[others])), pa.array(np.minimum(a, h[others]))], ["a", "b"])
+                    agrees[others] = True
+                    agrees[i] |= len(others) > 0
+                if agrees.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(agrees.sum()), key)), pa.array(h[agrees]), pa.array(of[agrees])], ["key", "h", "of"])
+
+    spread = _blocks(rooted, F.lit(1 / BLOCK))
+    return _grouped(spread, sketches).mapInArrow(run, "key long, h long, of long").distinct()
+
+
+def block_links(of: np.ndarray, side: np.ndarray, sets: list[np.ndarray], same: bool) -> list[tuple[int, int]]:
+    """Pairs of a group that join all that is similar in it and isn't in one component yet; sets: distinct hashes of shingles."""
+    size = np.array([len(x) for x in sets])
+    start = np.cumsum(size) - size
+    seen, code = np.unique(np.concatenate(sets), return_inverse=True)
+    here, of, out = np.zeros(len(seen), bool), of.copy(), []
+    for i in range(len(of)):
+        others = _others(i, same, of, side)
+        # sets of much different sizes can't be similar
+        others = others[np.minimum(size[others], size[i]) >= SIMILAR * np.maximum(size[others], size[i])]
+        if not len(others):
+            continue
+        here[code[start[i] : start[i] + size[i]]] = True
+        ends = np.cumsum(size[others])
+        places = np.repeat(start[others] - ends + size[others], size[others]) + np.arange(ends[-1])
+        both = np.add.reduceat(here[code[places]].astype(np.int64), ends - size[others])
+        here[code[start[i] : start[i] + size[i]]] = False
+        for k in others[both >= SIMILAR * (size[others] + size[i] - both)].tolist():
+            if of[k] != of[i]:
+                of[of == of[k]] = of[i]
+                out.append((i, k))
+    return out
+
+
+def _similar(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b that join the similar texts of each key. near: key, h, of; sets: h, n and mark, of :func:`hashed`."""
 
-    # a key of n rows has n / BLOCK blocks; each row goes to every pair of blocks that has its own
-    blocks = rooted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    dealt = rooted.join(_few(cut(blocks)), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("h"), "blocks").cast("int"))
-    other = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = other.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "h", "of", F.when(F.col("own") < F.col("with"), 0).when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"))
-    marked = spread.join(sketches, "h")
-    groups = marked.groupBy("key", "i", "j").agg(F.collect_list(F.struct("h", "of", "side", "mark")).alias("group"))
-    return groups.select((F.col("i") == F.col("j")).alias("same"), "group").mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in batches:
+            for same, group in zip(r.column("same").to_pylist(), r.column("group"), strict=True):
+                g = group.values
+                h, of, side = (g.field(x).to_numpy(zero_copy_only=False) for x in ("h", "of", "side"))
+                found = block_links(of, side, [np.frombuffer(x, np.uint64) for x in g.field("mark").to_pylist()], same)
+                if found:
+                    x, y = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(h[x]), pa.array(h[y])], ["a", "b"])
+
+    sized = near.join(_few(sets.select("h", "n")), "h")
+    spread = _blocks(sized, F.col("n") / BLOCK_SHINGLES)
+    return _grouped(spread, sets.select("h", "mark")).select("same", "group").mapInArrow(run, "a long, b long").distinct()
+
+
+def hashed(texts: DataFrame) -> DataFrame:
+    """h, n and mark: the number of different shingles of each text, and their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(t), repeat(SEED)), np.uint64)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.tobytes() for x in found], pa.binary())], ["h", "n", "mark"])
+
+    return texts.mapInArrow(run, "h long, n int, mark binary")
 
 
 def sketched(texts: DataFrame) -> DataFrame:
@@ -172,8 +243,9 @@ def sketched(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "h long, mark binary")
 
 
-def near_copies(texts: DataFrame) -> DataFrame:
-    """node, root: the smallest text hash that each one with near copies reaches. texts: h (distinct) and text."""
+def near_copies(texts: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """node, root: the smallest text hash that each one with near copies reaches. texts: h (distinct) and text. links: pairs a, b of
+    texts that another method found; they join components like those of similar texts."""
     spark = texts.sparkSession
     bounded_batches(spark)
     held: list[str] = []
@@ -183,7 +255,8 @@ def near_copies(texts: DataFrame) -> DataFrame:
     discard(spark, [held.pop(0)])
     texts = written(texts.join(_few(cut(shared.select("h").distinct())), "h", "left_semi"), held)
     tried = cut(shared.filter("h <> low").groupBy(F.col("h").alias("a")).agg(F.min("low").alias("b")))
-    roots = cut(components(cut(checked(tried, texts))))
+    first = checked(tried, texts)
+    roots = cut(components(cut(first if links is None else first.unionByName(links))))
     rooted = _rooted(shared.select("key", "h"), roots)
     for _ in range(ROUNDS):
         first = rooted.groupBy("key", "of").agg(F.min("h").alias("a"))
@@ -191,25 +264,27 @@ def near_copies(texts: DataFrame) -> DataFrame:
         pairs = first.join(hub, "key").select("of", F.col("hub.of").alias("hub"), "a", F.col("hub.a").alias("b")).filter("of <> hub").distinct()
         pairs = pairs.join(tried, ["a", "b"], "left_anti").groupBy("of", "hub").agg(F.min(F.struct("a", "b")).alias("p"))
         pairs = cut(pairs.select("p.a", "p.b"))
-        links = cut(checked(pairs, texts))
+        more = cut(checked(pairs, texts))
         tried = tried.unionByName(pairs)
-        if not links.limit(1).count():
+        if not more.limit(1).count():
             break
-        roots = _joined(roots, links)
+        roots = _joined(roots, more)
         rooted = _rooted(shared.select("key", "h"), roots)
     sketches = cut(sketched(texts.join(_few(cut(rooted.select("h").distinct())), "h", "left_semi")))
-    rest = cut(_agreeing(rooted, sketches).join(tried, ["a", "b"], "left_anti"))
-    roots = _joined(roots, cut(checked(rest, texts)))
+    near = cut(_agreeing(rooted, sketches))
+    sets = cut(hashed(texts.join(_few(cut(near.select("h").distinct())), "h", "left_semi")))
+    roots = _joined(roots, cut(_similar(near, sets)))
     discard(spark, held)
     return roots
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of docs without near copies: of each component the row with the smallest doc_id (then
-    text hash) stays, once if it repeats. Columns as in docs."""
+    text hash) stays, once if it repeats. Columns as in docs. linked: gives links a, b of another method for texts (h, text)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     held: list[str] = []
-    found = near_copies(written(docs.select(F.xxhash64(text).alias("h"), text.alias("text")).dropDuplicates(["h"]), held))
+    texts = written(docs.select(F.xxhash64(text).alias("h"), text.alias("text")).dropDuplicates(["h"]), held)
+    found = near_copies(texts, linked(texts) if linked else None)
     discard(docs.sparkSession, held)
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("h")).groupBy("id", "h").count())
     first = rows.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "h")).alias("k"))

@@ -158,6 +158,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "grp")
 
 
+def text_links(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """a, b: each text (h, text; hashes distinct) with the smallest hash that it reaches over fingerprints within radius."""
+    found = near_duplicates(texts.select(F.col("h").alias("doc_id"), "text"), radius)
+    return found.filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest
     doc_id (then text hash) stays, once if it repeats. Columns as in docs."""

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
-from pathledger.llm import near_copies
+from pathledger.llm import near_copies, simhash
 
 from .helpers import SCHEMA, documents, empty, prose
 
@@ -80,3 +82,36 @@ def test_sketches_tell_how_alike_sets_are():
     marks = [near_copies.sketch(t) for t in (base, edited(rng, base, 4), prose(rng, 400))]
     same = [sum(a == b for a, b in zip(marks[0], m, strict=True)) for m in marks]
     assert same[0] == near_copies.SKETCH and same[1] >= near_copies.AGREE > same[2] and 200 < near_copies.AGREE < 256
+
+
+def test_stage_links_by_fingerprints_too(spark):
+    """A passage that comes once beside one that repeats: apart by their sets of shingles, one by op4's fingerprints."""
+    rng = random.Random(12)
+    words = prose(rng, 40).split(" ")
+    base = " ".join(words)
+    texts = [" ".join([base] * 60), " ".join([base] * 60 + prose(rng, 20).split(" ")), prose(rng, 200)]
+    marks = [simhash.fingerprint(t) for t in texts]
+    assert (marks[0] ^ marks[1]).bit_count() <= simhash.RADIUS < (marks[0] ^ marks[2]).bit_count() and brute(texts) == [0, 1, 2]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", "z", "w") for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()) == [0, 2]
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_a_block_gives_fewer_links_than_it_has_texts(same):
+    rng = random.Random(6)
+    base = prose(rng, 150)
+    texts = [edited(rng, base, 1 if i % 3 else 9) for i in range(90)]
+    sets = [np.unique(np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in near_copies.shingles(t)), np.uint64)) for t in texts]
+    side = np.arange(90) % 2 * (not same)
+    found = near_copies.block_links(np.arange(90), side, sets, same)
+    pairs = [(a, b) for a in range(90) for b in range(a) if (same or side[a] != side[b]) and near_copies.similar(near_copies.shingles(texts[a]), near_copies.shingles(texts[b]))]
+
+    def roots(links):
+        root = list(range(90))
+        for _ in range(90):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert roots(found) == roots(pairs) and len(found) == 90 - len(set(roots(pairs))) < len(pairs)
+    assert not near_copies.block_links(np.zeros(90, int), side, sets, same)

@@ -72,7 +72,17 @@ def open_files(outputs: DataFrame, value: str = "value") -> DataFrame:
 
     outputs: one text a row, with an id that tells outputs apart (column ``output``). For texts too large for a row see :func:`field_rows`.
     """
-    return open_fields(outputs.select("output", F.posexplode(F.split(F.col(value), "\0")).alias("pos", "field")))
+    # an output is cut at its processes, and these at their files; nothing leaves the row's task
+    whole = F.concat(F.lit("\0"), F.col(value))
+    procs = outputs.select("output", F.posexplode(F.split(whole, r"\x00\n*p")).alias("_at", "_part"))
+    rest = lambda part: F.filter(F.transform(F.split(part, r"\x00"), lambda x: F.ltrim(x, F.lit("\n"))), lambda x, i: (i > 0) & (x != ""))
+    largest = lambda fields, tag: F.array_max(F.transform(F.filter(fields, lambda x: x.startswith(tag)), lambda x: F.substr(x, F.lit(2))))
+    pid = F.when(F.col("_at") > 0, F.substring_index("_part", "\0", 1)).try_cast("bigint")
+    files = procs.select("output", pid.alias("pid"), largest(rest(F.col("_part")), "c").alias("command"), F.posexplode(F.split("_part", r"\x00\n*f")).alias("_at", "_file"))
+    # what comes before a process's first file is a record without a descriptor
+    files = files.withColumns({"fd": F.when(F.col("_at") > 0, F.substring_index("_file", "\0", 1)), "_fields": rest(F.col("_file"))})
+    got = files.select("output", "pid", "command", "fd", largest(F.col("_fields"), "t").alias("kind"), largest(F.col("_fields"), "s").try_cast("bigint").alias("size_bytes"), largest(F.col("_fields"), "n").alias("name"))
+    return got.filter("name is not null").select(*got.columns[:-1], F.regexp_replace("name", r" \(deleted\)$", "").alias("path"))
 
 
 def field_rows(spark: SparkSession, path: str) -> DataFrame:

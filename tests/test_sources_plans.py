@@ -184,3 +184,13 @@ def test_llm_is_optional():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", p.read_text())
+
+
+def test_open_files_of_a_row_equal_its_fields_and_need_no_shuffle(spark):
+    texts = ["", "\0", "n/early\0f1\0n/none (deleted)\0", "p1\0ca\0cb\0fcwd\0n/x\0n/y\0s5\0sx\0tREG\0\n\np2\0n/head\0f7\0cz\0\nn/z (deleted) (deleted)\0", "px\0cq\0f\0n\0p\0f\0s9\0", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "output int, value string")
+    got = parsers.open_files(df)
+    fields = df.select("output", F.posexplode(F.split("value", "\0")).alias("pos", "field"))
+    want = sorted(map(tuple, parsers.open_fields(fields).collect()), key=str)
+    assert sorted(map(tuple, got.collect()), key=str) == want and len(want) == 6
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()

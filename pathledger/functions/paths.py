@@ -47,6 +47,12 @@ def ancestors_t(t: Column, proper: bool = True) -> Column:
     return F.when(t == "/", root).when(count < 1, F.array().cast("array<string>")).otherwise(up)
 
 
+def directories_t(files: DataFrame, t: str) -> DataFrame:
+    """The directories above files, each once, in column t; those that hold files directly are told apart before any path is split up."""
+    own = files.select(parent_t(F.col(t)).alias(t)).distinct()
+    return own.select(F.explode(ancestors_t(F.col(t), proper=False)).alias(t)).distinct()
+
+
 def with_ancestors(df: DataFrame, path: str, name: str, proper: bool = True) -> DataFrame:
     """A row for each path above that in column path (bytes), in column name."""
     return df.withColumn(name, F.explode(ancestors_t(to_text(F.col(path)), proper))).withColumn(name, to_bytes(F.col(name)))
@@ -80,6 +86,11 @@ def traversal_key(path: Column) -> Column:
     return to_bytes(F.replace(to_text(path), F.lit("/"), F.lit("\0")))
 
 
+def traversed(key: Column) -> Column:
+    """The path of a traversal key; paths hold no zero bytes."""
+    return to_bytes(F.replace(to_text(key), F.lit("\0"), F.lit("/")))
+
+
 def protected_t(t: Column, never: list[str]) -> Column:
     """Whether a path is, lies below, or lies above one that must not be folded."""
     out = F.lit(False)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that is broadcast without a look at its bytes; for rows of a few numbers and a path.
 FEW = 10_000
+#: Rows of a range of an order, on average, at most.
+RANGE = 500_000
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -23,6 +25,11 @@ def few(df: DataFrame, most: int = FEW) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def ranges(df: DataFrame) -> int:
+    """How many ranges df is sorted in: more rows, more ranges, so that a task's rows don't grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
+
+
 def numbered(df: DataFrame, name: str, order: list[str], within: list[str] | None = None) -> DataFrame:
     """df with the place of each row (from 1) in an order, for each value of the columns ``within``.
 
@@ -30,7 +37,7 @@ def numbered(df: DataFrame, name: str, order: list[str], within: list[str] | Non
     counts of the ranges before; only a count for each range and group is ordered in one place.
     """
     within = within or []
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges(df)
     at = F.monotonically_increasing_id()
     rows = held(df.repartitionByRange(parts, *within, *order).sortWithinPartitions(*within, *order).withColumn("_at", at))
     rows = rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_own", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
@@ -50,7 +57,7 @@ def carried(df: DataFrame, marks: dict[str, Column], order: str, within: list[st
     Rows lie in ranges of the order over the tasks, so one value of ``within`` can be of any size. Each range carries its own values
     forward; what the ranges before hand on comes from one row for each range and group.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges(df)
     keys = ["_range", *within]
     rows = held(df.withColumns(marks).repartitionByRange(parts, *within, order).withColumn("_range", F.spark_partition_id()))
     own = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathledger.functions import paths
-from pathledger.operators.held import numbered
+from pathledger.operators.held import few, held, numbered
 
 
 def link_limit(entries: DataFrame, cap: int) -> DataFrame:
@@ -16,22 +16,23 @@ def link_limit(entries: DataFrame, cap: int) -> DataFrame:
     with another such inode is over the limit: it counts no disk bytes, and its directory is given up there, so what comes after it in that directory, with all below, is
     skipped. No new inode is remembered from then on, so the first cap inodes are those of the whole walk.
 
-    The last inode that fits is found from counts of sorted ranges; directories alone are exploded to those above them.
+    The last inode that fits is found from counts of sorted ranges; directories alone are exploded to those above them. Entries are read twice, and
+    held once they are known to be over; where a side of directories is small it's broadcast.
     """
     key = paths.traversal_key(F.col("path"))
     linked = (F.col("kind") == "file") & (F.col("nlink") > 1)
     rows = entries.withColumn("_key", key).withColumn("_up", F.when(F.col("path") != paths.to_bytes(F.col("root_path")), paths.parent(F.col("path"))))
-    firsts = rows.filter(linked).groupBy("root_path", "device", "inode").agg(F.min("_key").alias("_first"))
+    firsts = held(rows.filter(linked).groupBy("root_path", "device", "inode").agg(F.min("_key").alias("_first")))
     limits = numbered(firsts.select("root_path", "_first"), "_n", ["_first"], ["root_path"]).filter(F.col("_n") == cap).select("root_path", F.col("_first").alias("_last"))
     late = firsts.join(limits, "root_path").filter(F.col("_first") > F.col("_last")) if cap > 0 else firsts
     late = late.select("root_path", "device", "inode", F.lit(True).alias("_late"))
-    rows = rows.join(late, ["root_path", "device", "inode"], "left").withColumn("_over", F.coalesce(linked & F.col("_late"), F.lit(False)))
-    frames = rows.filter("_over").groupBy("root_path", "_up").agg(F.min("_key").alias("_stop"))
+    rows = held(rows.join(late, ["root_path", "device", "inode"], "left").withColumn("_over", F.coalesce(linked & F.col("_late"), F.lit(False))).drop("_late"))
+    frames = few(held(rows.filter("_over").groupBy("root_path", "_up").agg(F.min("_key").alias("_stop"))))
     # a directory is skipped if it, or one above it, comes after the stop of the directory that holds that one
     t = paths.to_text(F.col("path"))
     chain = rows.filter((F.col("kind") == "directory") & F.col("_up").isNotNull()).select("root_path", "path", F.explode(paths.ancestors_t(t, proper=False)).alias("_a"))
     chain = chain.withColumn("_up", paths.to_bytes(paths.parent_t(F.col("_a")))).withColumn("_key", paths.traversal_key(paths.to_bytes(F.col("_a"))))
-    gone = chain.join(frames, ["root_path", "_up"]).filter(F.col("_key") > F.col("_stop")).select("root_path", F.col("path").alias("_up"), F.lit(True).alias("_gone")).distinct()
+    gone = few(held(chain.join(frames, ["root_path", "_up"]).filter(F.col("_key") > F.col("_stop")).select("root_path", F.col("path").alias("_up"), F.lit(True).alias("_gone")).distinct()))
     own = gone.withColumnRenamed("_up", "path").withColumnRenamed("_gone", "_self")
     rows = rows.join(frames, ["root_path", "_up"], "left").join(gone, ["root_path", "_up"], "left").join(own, ["root_path", "path"], "left")
     after = F.coalesce(F.col("_key") > F.col("_stop"), F.lit(False)) & (F.col("kind") != "directory")

@@ -312,7 +312,7 @@ def _line_files(spark: SparkSession, sf: str) -> DataFrame:
     li = ad.table(spark, sf, "lineitem")
     name = F.concat(F.lit("/s"), (F.col("l_suppkey") % 20).cast("string"), F.lit("/q"), (F.col("l_suppkey") % 3).cast("string"), F.lit("/f"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
     files = li.select(name.alias("t"), F.col("l_quantity").cast("long").alias("size"), F.col("l_quantity").cast("long").alias("blocks"), F.col("l_partkey").alias("inode"))
-    dirs = files.select(F.explode(paths.ancestors_t(F.col("t"))).alias("t")).distinct().select("t", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("blocks"), F.lit(0).cast("long").alias("inode"), F.lit("directory").alias("kind"))
+    dirs = paths.directories_t(files, "t").select("t", F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("blocks"), F.lit(0).cast("long").alias("inode"), F.lit("directory").alias("kind"))
     rows = files.withColumn("kind", F.lit("file")).unionByName(dirs)
     return rows.select(F.lit("/").alias("root_path"), paths.to_bytes(F.col("t")).alias("path"), "kind", "size", "blocks", F.when(F.col("kind") == "file", 2).otherwise(1).cast("long").alias("nlink"), F.lit(1).cast("long").alias("device"), "inode", F.lit(None).cast("string").alias("error"))
 
@@ -525,7 +525,7 @@ def link_cap(spark: SparkSession, sf: str) -> DataFrame:
     low = F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 5 == 0), "").otherwise(F.concat(F.lit("/q"), (F.col("l_suppkey") % 3).cast("string")))
     t = F.concat(F.lit("/s"), (F.col("l_suppkey") % 20).cast("string"), low, F.lit("/f"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
     files = li.select(t.alias("t"), F.when(F.col("l_orderkey") % 4 == 0, 1).otherwise(2).cast("long").alias("nlink"), F.col("l_partkey").cast("long").alias("inode"), F.lit("file").alias("kind"))
-    dirs = files.select(F.explode(paths.ancestors_t(F.col("t"))).alias("t")).distinct().select("t", F.lit(1).cast("long").alias("nlink"), F.lit(0).cast("long").alias("inode"), F.lit("directory").alias("kind"))
+    dirs = paths.directories_t(files, "t").select("t", F.lit(1).cast("long").alias("nlink"), F.lit(0).cast("long").alias("inode"), F.lit("directory").alias("kind"))
     rows = files.unionByName(dirs).select(F.lit("/").alias("root_path"), paths.to_bytes(F.col("t")).alias("path"), "kind", "nlink", F.lit(1).cast("long").alias("device"), "inode")
     got = links.link_limit(rows, LINK_CAP)
     stops = links.abandoned(got).select(text("directory").alias("directory"), text("path").alias("stopped_at"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pathledger.functions import paths
 from pathledger.functions.values import error_kind
+from pathledger.operators.held import held
 
 
 def counted_entries(entries: DataFrame) -> DataFrame:
@@ -23,24 +24,27 @@ def counted_entries(entries: DataFrame) -> DataFrame:
         "root_path", "path", "kind", "error", F.when(sized & ~linked, F.col("blocks") * 512).otherwise(zero).alias("disk_bytes"), F.when(sized, F.col("size")).otherwise(zero).alias("apparent_bytes"),
         (~is_dir).cast("long").alias("files"), is_dir.cast("long").alias("dirs"), linked.cast("long").alias("hardlink"),
     )
-    first = F.min(F.struct(paths.traversal_key(F.col("path")), "path", "blocks")).alias("first")
+    first = F.min(F.struct(paths.traversal_key(F.col("path")).alias("key"), "blocks")).alias("first")
     shared = entries.filter(linked).groupBy("root_path", "device", "inode").agg(first)
     return own.unionByName(shared.select(
-        "root_path", F.col("first.path").alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("error"), (F.col("first.blocks") * 512).alias("disk_bytes"), *[zero.alias(c) for c in ("apparent_bytes", "files", "dirs", "hardlink")]
+        "root_path", paths.traversed(F.col("first.key")).alias("path"), F.lit("file").alias("kind"), F.lit(None).cast("string").alias("error"), (F.col("first.blocks") * 512).alias("disk_bytes"), *[zero.alias(c) for c in ("apparent_bytes", "files", "dirs", "hardlink")]
     ))
 
 
 def subtree_sums(entries: DataFrame) -> DataFrame:
     """A state row for each directory: sizes with its own, files and directories below, the largest child.
 
-    Files are summed by their directory first; only directories are carried to those above them.
+    Files are summed by their directory first, in numbers alone, so that they needn't be sorted; only directories are carried to those above them,
+    and held there.
     """
     is_dir = F.col("kind") == "directory"
     t, sizes = paths.to_text(F.col("path")), ["apparent_bytes", "disk_bytes", "files", "dirs", "hardlink"]
     rows = counted_entries(entries.filter(t.startswith(F.col("root_path")))).withColumn("path", F.when(is_dir, F.col("path")).otherwise(paths.parent(F.col("path"))))
     direct = rows.filter("path is not null").groupBy("root_path", "path").agg(
-        *[F.sum(c).alias(c) for c in sizes], F.max(F.when(is_dir, error_kind(F.col("error")))).alias("raw_error"), F.max(is_dir).alias("here"), F.max(F.when(is_dir, F.col("error"))).alias("error_name")
+        *[F.sum(c).alias(c) for c in sizes], F.max(is_dir).alias("here")
     )
+    failed = rows.filter(is_dir & F.col("error").isNotNull()).groupBy("root_path", "path").agg(F.max(error_kind(F.col("error"))).alias("raw_error"), F.max("error").alias("error_name"))
+    direct = direct.join(failed, ["root_path", "path"], "left")
     up = paths.with_ancestors(direct, "path", "above", proper=False).filter(paths.under_t(paths.to_text(F.col("above")), F.col("root_path")))
     self_ = F.col("above") == F.col("path")
     sums = up.groupBy("root_path", F.col("above").alias("path")).agg(
@@ -49,7 +53,7 @@ def subtree_sums(entries: DataFrame) -> DataFrame:
     ).filter("here")
     at_root = t == F.col("root_path")
     rel = paths.relative_t(t, F.col("root_path"))
-    out = sums.withColumns({"parent_path": F.when(~at_root, paths.parent(F.col("path"))), "depth": F.when(at_root, 0).otherwise(F.size(F.split(rel, "/")))})
+    out = held(sums).withColumns({"parent_path": F.when(~at_root, paths.parent(F.col("path"))), "depth": F.when(at_root, 0).otherwise(F.size(F.split(rel, "/")))})
     largest = F.min(F.struct((-F.col("disk_bytes")).alias("less"), F.col("path").alias("p"))).alias("top")
     child = out.filter("parent_path is not null").groupBy("root_path", F.col("parent_path").alias("path")).agg(F.count(F.lit(1)).alias("direct_directories"), largest)
     out = out.join(child, ["root_path", "path"], "left")

@@ -24,7 +24,7 @@ def against_sql(spark, name):
     return (got.columns, [c[0] for c in want.description]), sorted(map(tuple, got.collect()), key=str), sorted(want.fetchall(), key=str)
 
 
-@pytest.mark.parametrize("name", ["mount_tables", "descend_verdicts"])
+@pytest.mark.parametrize("name", ["mount_tables", "descend_verdicts", "link_cap", "open_files", "top_children", "collapsed_directories", "subtree_rollup"])
 def test_query_equals_its_sql(spark, name):
     (columns, named), got, want = against_sql(spark, name)
     assert columns == named and got == want and want

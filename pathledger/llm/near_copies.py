@@ -256,7 +256,7 @@ def near_copies(texts: DataFrame, links: DataFrame | None = None) -> DataFrame:
     texts = written(texts.join(_few(cut(shared.select("h").distinct())), "h", "left_semi"), held)
     tried = cut(shared.filter("h <> low").groupBy(F.col("h").alias("a")).agg(F.min("low").alias("b")))
     first = checked(tried, texts)
-    roots = cut(components(cut(first if links is None else first.unionByName(links))))
+    roots = components(first if links is None else first.unionByName(links))
     rooted = _rooted(shared.select("key", "h"), roots)
     for _ in range(ROUNDS):
         first = rooted.groupBy("key", "of").agg(F.min("h").alias("a"))

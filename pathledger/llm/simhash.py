@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_hash, fp, component_id and grp (the smallest fingerprint of the component)."""
     rows = cut(fingerprints(docs))
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = components(cut(links(cut(reps.select("fp")), radius)))
+    found = components(links(cut(reps.select("fp")), radius))
     of = found.join(reps, found["node"] == reps["fp"]).groupBy("root").agg(F.min("rep").alias("low"))
     named = found.join(of, "root").select(F.col("node").alias("fp"), "low", "root")
     named = reps.join(named, "fp", "left").select("fp", F.coalesce("low", "rep").alias("component_id"), F.coalesce("root", "fp").alias("grp"))

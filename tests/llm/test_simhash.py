@@ -1,6 +1,9 @@
+import random
+
 import numpy as np
 import pytest
 
+from pathledger.llm import components as linked
 from pathledger.llm import simhash
 from pathledger.llm.components import components
 
@@ -72,3 +75,29 @@ def test_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert all(got[i] == 0 for i in range(301)) and got[501] == 500
+
+
+def test_few_links_are_joined_without_rounds(spark):
+    """Each round of stars shuffles; with many partitions their small files took more disk than the links."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(501, 500), (7, 7), (900, 900)], "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few links", "")
+    try:
+        got = {r["node"]: r["root"] for r in components(edges).collect()}
+        tracker = sc.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("few links") for s in tracker.getJobInfo(j).stageIds}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {**dict.fromkeys(range(301), 0), 500: 500, 501: 500} and len(stages) <= 8
+
+
+def test_more_links_than_a_chunk_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(linked, "CHUNK", 16)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(90)]
+    root = list(range(1100))
+    for _ in range(1100):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()
+    assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["root"] for r in got} == {i: root[i] for p in pairs if p[0] != p[1] for i in p}

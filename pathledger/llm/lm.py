@@ -8,15 +8,15 @@ What the model knows comes from the whole training part: counts of words (they a
 score) give the counts of ids after the beginnings of words. Chances by the beginning of the word, for
 the NODES most frequent ones, are smoothed with those by the last id alone, and so on. On top, self-attention with relative places over the last ids and a
 layer of rectifiers change them: both the weights of keys and the chances of classes are softmaxes, the one over products and places, the other
-over the logarithms of the counted chances and what the layers add. These are trained with Adam by trainers all over the cluster on windows
-that every training document gives in proportion to its length, in ROUNDS rounds, after each of which
-the weights are averaged. Blocks of BLOCK ids are scored with the block before as context, so windows overlap
-and each id is scored once.
+over the logarithms of the counted chances and what the layers add. These are trained with Adam on every id of every training document, by trainers
+all over the cluster that read the documents in place; the documents are parted among the rounds by ROUND_PARTS, after each of which
+the weights are averaged. Blocks of BLOCK ids are trained and scored with the block before as context, so windows overlap
+and each id is a target once.
 
 Sizes of the model (documented parameters; they bound what is broadcast, not what is counted or scored): classes, SYMBOLS, NODES, KNOWN_IDS, HOT_WORDS.
 Ids that KNOWN_IDS leaves out share the smoothed rest of their class, so all chances sum to one. The
 HOT_WORDS most frequent words and their counts are broadcast; other words find their counts by
-a join on a 64-bit hash. Of the training ids about BLOCK in WINDOW_WORDS words train the attention; all are counted.
+a join on a 64-bit hash. All training ids are counted and train the attention.
 
 Null texts count as empty: an end alone. Rows may repeat, doc_ids be null. Very long texts are split into blocks like all others. No rows: no result.
 """
@@ -52,11 +52,11 @@ SYMBOLS = 2048
 #: Beginnings of words with chances of their own, and ids in shared classes that have some after them.
 NODES, KNOWN_IDS = 1 << 13, 200_000
 DIM, HIDDEN, BLOCK = 16, 32, 32
-#: A training window of BLOCK targets for so many words, on average; PASSES of them lie one after another.
-WINDOW_WORDS, PASSES = 512, 4
-#: Windows for one trainer, on average.
+#: Windows (blocks of targets with the block before) that a trainer holds and mixes at once.
 TRAINER_WINDOWS = 8192
-ROUNDS, STEP_WINDOWS, RATE = 2, 64, 0.03
+#: Each document trains in one round: short rounds come first, as weights are averaged well while trainers haven't gone far apart.
+ROUND_PARTS = (1, 4, 27)
+STEP_WINDOWS, RATE = 64, 0.03
 #: Steps of a trainer in a round, at least: few windows are passed over again.
 LEAST_STEPS = 150
 #: Averages of trainers that come to the driver, at most.
@@ -374,62 +374,153 @@ def _near(bias: np.ndarray) -> np.ndarray:
     return np.where(_BACK >= 0, np.exp(bias[np.maximum(_BACK, 0)]), 0).astype(bias.dtype)
 
 
+def laid_out(tokens: np.ndarray, sizes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts in blocks of their own, after a block before all: the first block of each text and the number of all, what is seen and what comes next at each
+    place, which places are real, and which blocks are a text's first. tokens: those of all texts, sizes: how many each has."""
+    blocks = sizes // BLOCK + 1
+    starts = np.concatenate(([0], np.cumsum(blocks))) + 1
+    n = int(starts[-1]) * BLOCK
+    seen, goal = np.full(n, end[0], TOKEN), np.full(n, end[0], TOKEN)
+    before = np.cumsum(sizes) - sizes
+    at = np.repeat(starts[:-1] * BLOCK - before, sizes) + np.arange(len(tokens))
+    goal[at] = tokens
+    inner = (at + 1) % BLOCK != 0
+    inner |= at + 1 < np.repeat(starts[1:] * BLOCK, sizes)
+    seen[at[inner] + 1] = tokens[inner]
+    real = np.zeros(n, bool)
+    real[at] = real[starts[:-1] * BLOCK + sizes] = True
+    first = np.zeros(starts[-1], bool)
+    first[starts[:-1]] = True
+    return starts, seen, goal, real, first
+
+
+def windows(stats: Stats, tokens: np.ndarray, sizes: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """symbols, rows and target, as :func:`gradients` takes them, of all blocks of the texts: each id and each end is a target once."""
+    _, seen, goal, real, first = laid_out(tokens, sizes, end)
+    ids = stats.symbols[seen["id"]].reshape(-1, BLOCK)
+    target = np.where(real, stats.classes[goal["id"]], -1).reshape(-1, BLOCK)
+    return np.concatenate([np.where(first[1:, None], -1, ids[:-1]), ids[1:]], 1), seen["row"].reshape(-1, BLOCK)[1:], target[1:]
+
+
 def gradients(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and gradients on windows: symbols (n, 2 blocks; -1 for none), and for the second block rows and
     classes to come (-1 for none)."""
+    n, kind = len(symbols), w["E"].dtype
     there = symbols >= 0
-    s = np.maximum(symbols, 0)
-    x = w["E"][s]
-    xq = x[:, BLOCK:]
-    scale = np.float32(1 / math.sqrt(DIM))
-    q, k, v = xq @ w["Q"] * scale, x @ w["K"], x @ w["V"]
-    a = q @ k.transpose(0, 2, 1) + np.where(_BACK >= 0, w["bias"][np.maximum(_BACK, 0)], _NEVER)
-    a = np.where(there[:, None, :], a, _NEVER)
-    a = np.exp(a - a.max(2, keepdims=True))
+    gaps = np.nonzero(~there.all(1))[0]
+    s = np.maximum(symbols, 0).ravel()
+    x = w["E"].take(s, axis=0)
+    flat = lambda m: m.reshape(-1, m.shape[-1])
+    blocks = lambda m: m.reshape(n, -1, DIM)
+    xq = flat(blocks(x)[:, BLOCK:])
+    scale = kind.type(1 / math.sqrt(DIM))
+    q, k, v = blocks(xq @ w["Q"] * scale), blocks(x @ w["K"]), blocks(x @ w["V"])
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(_BACK >= 0, w["bias"][np.maximum(_BACK, 0)], _NEVER)
+    if len(gaps):
+        a[gaps] = np.where(there[gaps, None, :], a[gaps], _NEVER)
+    a -= a.max(2, keepdims=True)
+    np.exp(a, out=a)
     a /= a.sum(2, keepdims=True)
-    o = a @ v
+    o = flat(a @ v)
     pre = xq @ w["W"] + o @ w["M"] + w["b"]
     h = np.maximum(pre, 0)
     y = h @ w["U"] + w["c"]
-    y -= y.max(2, keepdims=True)
-    d = stats.follow[rows] * np.exp(y)
-    z = d.sum(2)
-    ok = target >= 0
-    n = max(1, int(ok.sum()))
-    t = np.maximum(target, 0)[:, :, None]
-    d /= z[:, :, None]
-    mine = np.take_along_axis(d, t, 2)
-    loss = float(-(np.log(mine[:, :, 0] + np.float32(1e-30)) * ok).sum() / n)
-    np.put_along_axis(d, t, mine - 1, 2)
-    d *= (ok[:, :, None] / np.float32(n)).astype(np.float32)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"U": flat(h).T @ flat(d), "c": flat(d).sum(0)}
+    if max(float(y.max()), -float(y.min())) > LARGEST:
+        y -= y.max(1, keepdims=True)
+    d = np.exp(y, out=y)
+    d *= stats.follow.take(rows.ravel(), axis=0)
+    z = d.sum(1)
+    goal = target.ravel()
+    ok = goal >= 0
+    many = max(1, int(ok.sum()))
+    at = np.arange(len(goal)) * d.shape[1] + np.maximum(goal, 0)
+    loss = float(-(np.log(d.ravel()[at] / z + kind.type(1e-30)) * ok).sum() / many)
+    part = (ok / many).astype(kind)
+    d *= (part / z)[:, None]
+    d.ravel()[at] -= part
+    g = {"U": h.T @ d, "c": d.sum(0)}
     dpre = (d @ w["U"].T) * (pre > 0)
-    g |= {"W": flat(xq).T @ flat(dpre), "M": flat(o).T @ flat(dpre), "b": flat(dpre).sum(0)}
-    do = dpre @ w["M"].T
-    da = do @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(2, keepdims=True))
+    g |= {"W": xq.T @ dpre, "M": o.T @ dpre, "b": dpre.sum(0)}
+    do = blocks(dpre @ w["M"].T)
+    ds = do @ v.transpose(0, 2, 1)
+    dv = flat(a.transpose(0, 2, 1) @ do)
+    ds -= np.einsum("ijk,ijk->ij", ds, a)[:, :, None]
+    ds *= a
     by_place = ds.sum(0)
-    dq = ds @ k * scale
-    dk = ds.transpose(0, 2, 1) @ (xq @ w["Q"]) * scale
-    g |= {"Q": flat(xq).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv)}
-    g["bias"] = np.bincount(np.maximum(_BACK, 0).ravel(), np.where(_BACK >= 0, by_place, 0).ravel(), 2 * BLOCK).astype(np.float32)
-    dx = dk @ w["K"].T + dv @ w["V"].T
-    dx[:, BLOCK:] += dq @ w["Q"].T + dpre @ w["W"].T
-    at = np.nonzero(there.ravel())[0]
-    at = at[np.argsort(s.ravel()[at], kind="stable")]
-    now = s.ravel()[at]
-    g["E"] = np.zeros_like(w["E"])
-    if len(at):
-        first = np.nonzero(np.concatenate(([True], now[1:] != now[:-1])))[0]
-        g["E"][now[first]] = np.add.reduceat(flat(dx)[at], first, axis=0)
+    dq = flat(ds @ k)
+    dq *= scale
+    dk = flat(ds.transpose(0, 2, 1) @ q)
+    g |= {"Q": xq.T @ dq, "K": x.T @ dk, "V": x.T @ dv}
+    g["bias"] = np.bincount(np.maximum(_BACK, 0).ravel(), np.where(_BACK >= 0, by_place, 0).ravel(), 2 * BLOCK).astype(kind)
+    dx = dk @ w["K"].T
+    dx += dv @ w["V"].T
+    blocks(dx)[:, BLOCK:] += blocks(dq @ w["Q"].T + dpre @ w["W"].T)
+    if len(gaps):
+        dx *= there.reshape(-1, 1)
+    g["E"] = np.stack([np.bincount(s, c, len(w["E"])) for c in np.ascontiguousarray(dx.T)], 1).astype(kind)
     return loss, g
 
 
+class Adam:
+    """Weights and their moments; a step for each part of the windows that come."""
+
+    def __init__(self, w: dict[str, np.ndarray], stats: Stats):
+        self.w, self.stats, self.i = {k: v.copy() for k, v in w.items()}, stats, 0
+        self.m1 = {k: np.zeros_like(v) for k, v in w.items()}
+        self.m2 = {k: np.zeros_like(v) for k, v in w.items()}
+
+    def step(self, symbols: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
+        _, g = gradients(self.w, self.stats, symbols, rows, target)
+        self.i += 1
+        now = rate * min(1.0, self.i / 10)
+        for k, w in self.w.items():
+            self.m1[k] += np.float32(0.1) * (g[k] - self.m1[k])
+            self.m2[k] += np.float32(0.02) * (g[k] * g[k] - self.m2[k])
+            w -= np.float32(now) * (self.m1[k] / np.float32(1 - 0.9**self.i)) / (np.sqrt(self.m2[k] / np.float32(1 - 0.98**self.i)) + np.float32(1e-6))
+
+
+class Learner:
+    """Trains on windows as they come, TRAINER_WINDOWS of them mixed at once; few windows are passed over again by :func:`train`."""
+
+    def __init__(self, w: dict[str, np.ndarray], stats: Stats, rate: float, seed: int):
+        self.start, self.adam, self.stats, self.rate = w, Adam(w, stats), stats, rate
+        self.mixed, self.held, self.size, self.n = np.random.default_rng(seed), [], 0, 0
+
+    def add(self, symbols: np.ndarray, rows: np.ndarray, target: np.ndarray) -> None:
+        for at in range(0, len(symbols), TRAINER_WINDOWS):
+            part = slice(at, at + TRAINER_WINDOWS)
+            self.held.append((symbols[part], rows[part], target[part]))
+            self.size += len(symbols[part])
+            if self.size >= max(TRAINER_WINDOWS, LEAST_STEPS * STEP_WINDOWS):
+                self._learn()
+
+    def _learn(self) -> None:
+        s, f, g = self._take()
+        for at in range(0, len(s), STEP_WINDOWS):
+            part = slice(at, at + STEP_WINDOWS)
+            self.adam.step(s[part].astype(np.int64), f[part], g[part].astype(np.int64), self.rate / math.sqrt(1 + self.adam.i / LEAST_STEPS))
+
+    def _take(self) -> list[np.ndarray]:
+        order = self.mixed.permutation(self.size)
+        self.n += self.size
+        out = [np.concatenate(x)[order] for x in zip(*self.held, strict=True)]
+        self.held, self.size = [], 0
+        return out
+
+    def done(self) -> dict[str, np.ndarray]:
+        """The weights, after all windows that were added."""
+        if self.size and not self.n:
+            s, f, g = self._take()
+            return train(self.start, self.stats, s.astype(np.int64), f, g.astype(np.int64), self.rate)
+        if self.size:
+            self._learn()
+        return self.adam.w
+
+
 def train(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float = RATE) -> dict[str, np.ndarray]:
-    """Adam over the windows, at least once and for LEAST_STEPS. Every 8th window is for checking alone: of the
-    weights at the start and after each pass (or each LEAST_STEPS) those are kept that do best on these."""
+    """Adam over the windows, at least once and for LEAST_STEPS. Every 8th window is for checking first: of the
+    weights at the start and after each pass (or each LEAST_STEPS) those are kept that do best on these. Then these train too, once, at the last rate."""
     own = np.arange(len(symbols)) % 8 != 0
     check = ~own if own.any() and not own.all() else np.ones(len(symbols), bool)
     own = own if own.any() else check
@@ -440,25 +531,22 @@ def train(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows: np.
         return sum(n * x for n, x in parts) / len(at)
 
     best, least = w, loss(w)
-    w = {k: v.copy() for k, v in w.items()}
-    m1 = {k: np.zeros_like(v) for k, v in w.items()}
-    m2 = {k: np.zeros_like(v) for k, v in w.items()}
+    adam = Adam(w, stats)
     order = np.nonzero(own)[0]
     once = -(-len(order) // STEP_WINDOWS)
     steps = once * max(1, -(-LEAST_STEPS // once))
     for i in range(steps):
         at = order[i % once * STEP_WINDOWS : (i % once + 1) * STEP_WINDOWS]
-        _, g = gradients(w, stats, symbols[at], rows[at], target[at])
-        now = rate * min(1.0, (i + 1) / 10) * (1 - 0.8 * i / steps)
-        for k in w:
-            m1[k] += np.float32(0.1) * (g[k] - m1[k])
-            m2[k] += np.float32(0.02) * (g[k] * g[k] - m2[k])
-            w[k] -= np.float32(now) * (m1[k] / np.float32(1 - 0.9 ** (i + 1))) / (np.sqrt(m2[k] / np.float32(1 - 0.98 ** (i + 1))) + np.float32(1e-6))
+        adam.step(symbols[at], rows[at], target[at], rate * (1 - 0.8 * i / steps))
         if i == steps - 1 or (i + 1) % min(once, LEAST_STEPS) == 0:
-            x = loss(w)
+            x = loss(adam.w)
             if x < least:
-                best, least = {k: v.copy() for k, v in w.items()}, x
-    return best
+                best, least = {k: v.copy() for k, v in adam.w.items()}, x
+    adam.w = {k: v.copy() for k, v in best.items()}
+    rest = np.nonzero(check & ~own)[0]
+    for at in np.array_split(rest, -(-len(rest) // STEP_WINDOWS) or 1) if len(rest) else ():
+        adam.step(symbols[at], rows[at], target[at], 0.2 * rate)
+    return adam.w
 
 
 class Model:
@@ -487,26 +575,13 @@ class Model:
         """Log10 chance of each text with its end; tokens: those of all texts, sizes: how many each has."""
         if not len(sizes):
             return np.zeros(0)
-        blocks = sizes // BLOCK + 1
-        starts = np.concatenate(([0], np.cumsum(blocks)))
-        n = (int(starts[-1]) + 1) * BLOCK  # a block before all
-        seen, goal = np.full(n, end[0], TOKEN), np.full(n, end[0], TOKEN)
-        before = np.cumsum(sizes) - sizes
-        at = np.repeat((starts[:-1] + 1) * BLOCK - before, sizes) + np.arange(len(tokens))
-        goal[at] = tokens
-        inner = (at + 1) % BLOCK != 0
-        inner |= at + 1 < np.repeat((starts[1:] + 1) * BLOCK, sizes)
-        seen[at[inner] + 1] = tokens[inner]
-        real = np.zeros(n, bool)
-        real[at] = real[(starts[:-1] + 1) * BLOCK + sizes] = True
-        first = np.zeros(starts[-1] + 1, bool)
-        first[starts[:-1] + 1] = True
+        starts, seen, goal, real, first = laid_out(tokens, sizes, end)
         ids_s, rows = self.symbols[seen["id"]], seen["row"].astype(np.int64)
         cls = self.classes[goal["id"]]
-        out = np.zeros(n)
+        out = np.zeros(len(seen))
         flat = np.arange(step * BLOCK) * CLASSES
-        for lo in range(1, starts[-1] + 1, step):
-            hi = min(lo + step, starts[-1] + 1)
+        for lo in range(1, starts[-1], step):
+            hi = min(lo + step, starts[-1])
             s, here = ids_s[(lo - 1) * BLOCK : hi * BLOCK], slice(lo * BLOCK, hi * BLOCK)
             kv = self.kv.take(s, axis=0)
             # each block with the one before it: views of the same rows
@@ -536,60 +611,13 @@ class Model:
             out[here] = np.log(p_t) + y_t - np.log(np.einsum("ij,ij->i", y, p))
         out += goal["within"]
         out[~real] = 0
-        return np.add.reduceat(out, (starts[:-1] + 1) * BLOCK) / LOG10
+        return np.add.reduceat(out, starts[:-1] * BLOCK) / LOG10
 
 
-def windows(training: DataFrame, ranks: Shared, stats: Shared, every: int = WINDOW_WORDS) -> DataFrame:
-    """k (a hash), symbols, rows and target of windows at seeded places of each text, as binary.
-
-    Pieces of the texts are cut out before Python sees them; words that the cuts part are left out.
-    """
-    piece = 8 * BLOCK * (PASSES + 1)  # characters: words for the context and for the targets
-    n = F.length("t")
-    seed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), n)
-    share = n / (6.5 * every * PASSES)
-    count = (F.floor(share) + F.when(F.pmod(seed, F.lit(1 << 20)) < (share - F.floor(share)) * (1 << 20), 1).otherwise(0)).cast("int")
-    texts = training.select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    rows = texts.select("t", seed.alias("seed"), n.alias("n"), F.explode(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))).alias("i"))
-    rows = rows.withColumn("k", F.xxhash64("seed", "i")).withColumn("at", F.pmod("k", F.greatest(F.col("n") - piece // 2, F.lit(1))).cast("int"))
-    rows = rows.select("k", F.substr("t", F.col("at") + 1, F.lit(piece)).alias("text"), (F.col("at") == 0).alias("first"), (F.col("at") + piece >= F.col("n")).alias("last"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        st = stats.value
-        enc = stats.made("words", lambda v: WordTokens(ranks.made("bpe", Bpe), v))
-        for b in batches:
-            out = []
-            ks, texts, firsts, lasts = (b.column(c).to_pylist() for c in ("k", "text", "first", "last"))
-            split = [words_of(t) for t in texts]
-            split = [w[not first : len(w) if last else -1] for w, first, last in zip(split, firsts, lasts, strict=True)]
-            tokens, sizes = enc.tokens(list(chain.from_iterable(split)))
-            ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, split)])]
-            for k, lo, hi, first, last in zip(ks, ends[:-1].tolist(), ends[1:].tolist(), firsts, lasts, strict=True):
-                seq = np.concatenate([*([enc.end] if first else []), tokens[lo:hi], *([enc.end] if last else [])])
-                for i in range(PASSES):  # blocks one after another, the first with a block before it if there are enough ids
-                    q = min(BLOCK, max(0, len(seq) - 1 - BLOCK * PASSES)) + i * BLOCK
-                    past, seen, now = seq[max(0, q - BLOCK) : q], seq[q : q + BLOCK], seq[q + 1 : q + 1 + BLOCK]
-                    if not len(now):
-                        break
-                    seen = seen[: len(now)]
-                    s, g, w = np.full(2 * BLOCK, -1, np.int16), np.full(BLOCK, -1, np.int16), np.zeros(BLOCK, np.int32)
-                    s[BLOCK - len(past) : BLOCK] = st.symbols[past["id"]]
-                    s[BLOCK : BLOCK + len(now)] = st.symbols[seen["id"]]
-                    w[: len(now)] = seen["row"]
-                    g[: len(now)] = st.classes[now["id"]]
-                    out.append((k, s.tobytes(), w.tobytes(), g.tobytes()))
-            cols = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["k", "symbols", "rows", "target"])
-
-    return rows.mapInArrow(run, "k long, symbols binary, rows binary, target binary")
-
-
-def fit(spark: SparkSession, training: DataFrame, ranks: Shared, stats: Stats, every: int = WINDOW_WORDS) -> dict[str, np.ndarray]:
+def fit(spark: SparkSession, training: DataFrame, ranks: Shared, stats: Stats, table: Shared) -> dict[str, np.ndarray]:
+    """Weights that every id of the training texts has trained. The trainers are the partitions of the texts. table: the hot words."""
     told = Shared(spark, stats)
-    held = written(windows(training, ranks, told, every))
-    n = held.count()
-    trainers = max(1, round(n / TRAINER_WINDOWS))
-    rows = held.withColumn("trainer", F.pmod("k", F.lit(trainers)))
+    part = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.length(F.coalesce("text", F.lit("")))), F.lit(sum(ROUND_PARTS)))
     w = first_weights()
     shapes = [(k, w[k].shape) for k in NAMES]
 
@@ -611,25 +639,36 @@ def fit(spark: SparkSession, training: DataFrame, ranks: Shared, stats: Stats, e
         return pd.DataFrame({"w": [(total / n).astype(np.float32).tobytes()], "n": [n]})
 
     def trainer(now: Shared, r: int):  # noqa: ANN202
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["k", "symbols"])
-            s = np.stack([np.frombuffer(x, np.int16) for x in group["symbols"]]).astype(np.int64)
-            g = np.stack([np.frombuffer(x, np.int16) for x in group["target"]]).astype(np.int64)
-            f = np.stack([np.frombuffer(x, np.int32) for x in group["rows"]])
-            mixed = np.random.default_rng(r).permutation(len(s))
-            return pd.DataFrame({"w": [pack(train(unpack(now.value), told.value, s[mixed], f[mixed], g[mixed], RATE / (1 + r)))], "n": [len(s)], "slot": [int(group["trainer"].iloc[0]) % MEANS]})
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            st = told.value
+            enc = told.made("words", lambda v: WordTokens(ranks.made("bpe", Bpe), v, table.value.column("word").to_pylist()))
+            learner = Learner(unpack(now.value), st, RATE / (1 + r), r)
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    split = [words_of(t) for t in b.column("text").slice(at, 256).to_pylist()]
+                    tokens, sizes = enc.tokens(list(chain.from_iterable(split)))
+                    ends = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum([0, *map(len, split)])]
+                    learner.add(*windows(st, tokens, np.diff(ends), enc.end))
+            w = learner.done()
+            if learner.n:
+                yield pa.RecordBatch.from_arrays([pa.array([pack(w)], pa.binary()), pa.array([learner.n], pa.int64()), pa.array([TaskContext.get().partitionId() % MEANS])], ["w", "n", "slot"])
 
         return run
 
-    for r in range(ROUNDS if n else 0):
-        run = trainer(Shared(spark, pack(w)), r)
-        means = rows.groupBy("trainer").applyInPandas(run, "w binary, n long, slot int").groupBy("slot").applyInPandas(lambda g: mean(g), "w binary, n long")
-        w = unpack(mean(means.orderBy("n").toArrow().to_pandas())["w"].iloc[0])
+    low = 0
+    for r, many in enumerate(ROUND_PARTS):
+        texts = training.filter((part >= low) & (part < low + many)).select("text")
+        low += many
+        means = texts.mapInArrow(trainer(Shared(spark, pack(w)), r), "w binary, n long, slot long").groupBy("slot").applyInPandas(lambda g: mean(g), "w binary, n long")
+        found = means.orderBy("n").toArrow().to_pandas()
+        if len(found):
+            w = unpack(mean(found)["w"].iloc[0])
     return w
 
 
-def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, window_words: int = WINDOW_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs."""
+def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, window_words: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of docs. window_words: has no effect any more, as every
+    id trains the model."""
     spark = docs.sparkSession
     bounded_batches(spark)
     ranks_here = read_ranks(tokenizer)
@@ -641,9 +680,9 @@ def score_texts(docs: DataFrame, tokenizer: str = TOKENIZER, window_words: int =
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + texts, v + (texts > 0)
     stats = learn_stats(counts, texts, ranks, max(ranks_here.values()) + 2)
-    model = Shared(spark, Model(fit(spark, training, ranks, stats, window_words), stats))
     least = most_frequent(counts, "c", HOT_WORDS)
     table = Shared(spark, counts.filter(F.col("c") >= least).toArrow())
+    model = Shared(spark, Model(fit(spark, training, ranks, stats, table), stats))
 
     def hash_(word: bytes) -> int:
         return xxhash.xxh64_intdigest(word, 42)

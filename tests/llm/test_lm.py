@@ -131,5 +131,49 @@ def test_scores_equal_a_plain_scorer(spark, large):
     assert np.allclose(together, want, atol=2e-3, rtol=1e-4) and np.allclose(alone, want, atol=2e-3, rtol=1e-4)
 
 
+class Counting(lm.Learner):
+    """Learns nothing but how many targets came."""
+
+    def add(self, symbols, rows, target):
+        self.n += len(symbols)
+        self.adam.w["c"][0] += (target >= 0).sum()
+
+    def done(self):
+        return self.adam.w
+
+
+def test_every_id_of_every_training_text_trains_once(spark, monkeypatch):
+    """Windows at seeded places held about one id in twenty."""
+    docs = documents(spark, [(2000 + i, prose(random.Random(i), 5 + 13 * i % 400), "en", "s", 1) for i in range(60)]).coalesce(1)
+    ranks_here = lm.read_ranks()
+    ranks, counts = lm.Shared(spark, ranks_here), lm.written(lm.word_counts(docs))
+    stats = lm.learn_stats(counts, docs.count(), ranks, max(ranks_here.values()) + 2)
+    monkeypatch.setattr(lm, "Learner", Counting)
+    w = lm.fit(spark, docs, ranks, stats, lm.Shared(spark, counts.limit(50).toArrow()))
+    bpe = lm.Bpe(ranks_here)
+    assert w["c"][0] == sum(len(bpe.ids(lm.words_of(r["text"]))) + 1 for r in docs.collect()) > 5000
+
+
+def test_windows_are_the_blocks_of_the_texts(spark):
+    docs = documents(spark)
+    ranks_here = lm.read_ranks()
+    stats = lm.learn_stats(lm.written(lm.word_counts(docs)), docs.count(), lm.Shared(spark, ranks_here), max(ranks_here.values()) + 2)
+    enc = lm.WordTokens(lm.Bpe(ranks_here), stats)
+    texts = ["", prose(random.Random(1), 90), "mila", prose(random.Random(2), 200)]
+    tokens = [enc.tokens(lm.words_of(t))[0] for t in texts]
+    symbols, rows, target = lm.windows(stats, np.concatenate(tokens), np.array(list(map(len, tokens))), enc.end)
+    at = 0
+    for own in tokens:
+        seen, goal = np.concatenate([enc.end, own]), np.concatenate([own, enc.end])
+        for lo in range(0, len(goal), lm.BLOCK):
+            n = len(goal[lo : lo + lm.BLOCK])
+            assert target[at].tolist() == [*stats.classes[goal["id"][lo : lo + n]].tolist(), *[-1] * (lm.BLOCK - n)]
+            assert rows[at, :n].tolist() == seen["row"][lo : lo + n].tolist()
+            past = stats.symbols[seen["id"][lo - lm.BLOCK : lo]].tolist() if lo else [-1] * lm.BLOCK
+            assert symbols[at, : lm.BLOCK + n].tolist() == past + stats.symbols[seen["id"][lo : lo + n]].tolist()
+            at += 1
+    assert at == len(target)
+
+
 def test_empty(spark):
     assert lm.score_texts(empty(spark)).count() == 0

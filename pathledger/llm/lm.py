@@ -402,82 +402,147 @@ def windows(stats: Stats, tokens: np.ndarray, sizes: np.ndarray, end: np.ndarray
     return np.concatenate([np.where(first[1:, None], -1, ids[:-1]), ids[1:]], 1), seen["row"].reshape(-1, BLOCK)[1:], target[1:]
 
 
+def _bound(x: np.ndarray, y: np.ndarray) -> float:
+    """What no product of a row of x with a row of y can pass."""
+    return math.sqrt(np.einsum("ij,ij->i", x, x).max()) * math.sqrt(np.einsum("ij,ij->i", y, y).max())
+
+
+def _by_symbol(s: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols in s, and for each the sum of its rows of x."""
+    order = np.argsort(s.astype(np.uint16), kind="stable")
+    z = s[order]
+    new = np.concatenate(([0], np.nonzero(z[1:] != z[:-1])[0] + 1))
+    return z[new], np.add.reduceat(x.take(order, axis=0), new, axis=0)
+
+
 def gradients(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss and gradients on windows: symbols (n, 2 blocks; -1 for none), and for the second block rows and
-    classes to come (-1 for none)."""
+    classes to come (-1 for none).
+
+    Products with the vectors of symbols are made once a symbol. Both softmaxes stay undivided: columns of ones bring their sums out of products that are needed anyway, and sums and means
+    go into the narrow side of each product. They are shifted only if products could pass LARGEST."""
     n, kind = len(symbols), w["E"].dtype
+    many_rows = n * BLOCK
     there = symbols >= 0
     gaps = np.nonzero(~there.all(1))[0]
     s = np.maximum(symbols, 0).ravel()
-    x = w["E"].take(s, axis=0)
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    blocks = lambda m: m.reshape(n, -1, DIM)
-    xq = flat(blocks(x)[:, BLOCK:])
+    own = s.reshape(n, -1)[:, BLOCK:].ravel()
     scale = kind.type(1 / math.sqrt(DIM))
-    q, k, v = blocks(xq @ w["Q"] * scale), blocks(x @ w["K"]), blocks(x @ w["V"])
+    of_keys, of_ids = np.concatenate([w["K"], w["V"]], 1), np.concatenate([w["Q"] * scale, w["W"]], 1)
+    # keys, values and a column of ones
+    keys = np.ones((len(w["E"]), 2 * DIM + 1), kind)
+    np.matmul(w["E"], of_keys, out=keys[:, : 2 * DIM])
+    ids = w["E"] @ of_ids
+    bounded = _bound(ids[:, :DIM], keys[:, :DIM]) + float(np.abs(w["bias"]).max()) <= LARGEST
+    kv = keys.take(s, axis=0).reshape(n, 2 * BLOCK, -1)
+    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    qw = ids.take(own, axis=0)
+    q = qw.reshape(n, BLOCK, -1)[:, :, :DIM]
     a = q @ k.transpose(0, 2, 1)
-    a += np.where(_BACK >= 0, w["bias"][np.maximum(_BACK, 0)], _NEVER)
-    if len(gaps):
-        a[gaps] = np.where(there[gaps, None, :], a[gaps], _NEVER)
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    o = flat(a @ v)
-    pre = xq @ w["W"] + o @ w["M"] + w["b"]
-    h = np.maximum(pre, 0)
-    y = h @ w["U"] + w["c"]
-    if max(float(y.max()), -float(y.min())) > LARGEST:
+    if bounded:
+        np.exp(a, out=a)
+        a *= _near(w["bias"])
+        if len(gaps):
+            a[gaps] *= there[gaps, None, :]
+    else:
+        a += np.where(_BACK >= 0, w["bias"][np.maximum(_BACK, 0)], _NEVER)
+        if len(gaps):
+            a[gaps] = np.where(there[gaps, None, :], a[gaps], _NEVER)
+        a -= a.max(2, keepdims=True)
+        np.exp(a, out=a)
+    o = (a @ v).reshape(-1, DIM + 1)
+    whole = o[:, DIM:]
+    o = o[:, :DIM] / whole
+    pre = o @ w["M"]
+    pre += qw[:, DIM:]
+    pre += w["b"]
+    h = np.ones((many_rows, HIDDEN + 1), kind)
+    np.maximum(pre, 0, out=h[:, :HIDDEN])
+    u = np.concatenate([w["U"], w["c"][None]])
+    back = np.ones((CLASSES, HIDDEN + 1), kind)
+    back[:, :HIDDEN] = w["U"].T
+    y = h @ u
+    if _bound(h, u.T) > LARGEST and max(float(y.max()), -float(y.min())) > LARGEST:
         y -= y.max(1, keepdims=True)
     d = np.exp(y, out=y)
     d *= stats.follow.take(rows.ravel(), axis=0)
-    z = d.sum(1)
+    dh = d @ back
+    z = dh[:, HIDDEN].copy()
     goal = target.ravel()
     ok = goal >= 0
     many = max(1, int(ok.sum()))
-    at = np.arange(len(goal)) * d.shape[1] + np.maximum(goal, 0)
-    loss = float(-(np.log(d.ravel()[at] / z + kind.type(1e-30)) * ok).sum() / many)
+    goal = np.maximum(goal, 0)
+    at = np.arange(0, many_rows * CLASSES, CLASSES) + goal
+    wide = d.ravel()
+    loss = float(-(np.log(wide[at] / z + kind.type(1e-30)) * ok).sum() / many)
     part = (ok / many).astype(kind)
-    d *= (part / z)[:, None]
-    d.ravel()[at] -= part
-    g = {"U": h.T @ d, "c": d.sum(0)}
-    dpre = (d @ w["U"].T) * (pre > 0)
-    g |= {"W": xq.T @ dpre, "M": o.T @ dpre, "b": dpre.sum(0)}
-    do = blocks(dpre @ w["M"].T)
-    ds = do @ v.transpose(0, 2, 1)
-    dv = flat(a.transpose(0, 2, 1) @ do)
-    ds -= np.einsum("ijk,ijk->ij", ds, a)[:, :, None]
-    ds *= a
-    by_place = ds.sum(0)
-    dq = flat(ds @ k)
-    dq *= scale
-    dk = flat(ds.transpose(0, 2, 1) @ q)
-    g |= {"Q": xq.T @ dq, "K": x.T @ dk, "V": x.T @ dv}
+    share = (part / z)[:, None]
+    wide[at] -= z
+    h *= share
+    gu = d.T @ h
+    g = {"U": gu[:, :HIDDEN].T, "c": gu[:, HIDDEN]}
+    dqw = np.empty((many_rows, DIM + HIDDEN), kind)
+    dpre = dqw[:, DIM:]
+    np.multiply(dh[:, :HIDDEN], share, out=dpre)
+    dpre -= back.take(goal, axis=0)[:, :HIDDEN] * part[:, None]
+    dpre *= pre > 0
+    g |= {"M": o.T @ dpre, "b": np.ones(many_rows, kind) @ dpre}
+    do = np.empty((many_rows, DIM + 1), kind)
+    np.matmul(dpre, w["M"].T, out=do[:, :DIM])
+    do[:, :DIM] /= whole
+    np.negative(np.einsum("ij,ij->i", do[:, :DIM], o), out=do[:, DIM])
+    do = do.reshape(n, BLOCK, -1)
+    dkv = np.empty((n, 2 * BLOCK, 2 * DIM), kind)
+    np.matmul(a.transpose(0, 2, 1), do[:, :, :DIM], out=dkv[:, :, DIM:])
+    a *= do @ v.transpose(0, 2, 1)
+    by_place = (np.ones(n, kind) @ a.reshape(n, -1)).reshape(_BACK.shape)
+    np.matmul(a.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+    np.matmul(a, k, out=dqw.reshape(n, BLOCK, -1)[:, :, :DIM])
+    dkv = dkv.reshape(-1, 2 * DIM)
+    x = w["E"].take(s, axis=0)
+    g_keys, g_ids = (dkv.T @ x).T, (dqw.T @ x.reshape(n, -1, DIM)[:, BLOCK:].reshape(-1, DIM)).T
+    g |= {"Q": g_ids[:, :DIM] * scale, "W": g_ids[:, DIM:], "K": g_keys[:, :DIM], "V": g_keys[:, DIM:]}
     g["bias"] = np.bincount(np.maximum(_BACK, 0).ravel(), np.where(_BACK >= 0, by_place, 0).ravel(), 2 * BLOCK).astype(kind)
-    dx = dk @ w["K"].T
-    dx += dv @ w["V"].T
-    blocks(dx)[:, BLOCK:] += blocks(dq @ w["Q"].T + dpre @ w["W"].T)
-    if len(gaps):
-        dx *= there.reshape(-1, 1)
-    g["E"] = np.stack([np.bincount(s, c, len(w["E"])) for c in np.ascontiguousarray(dx.T)], 1).astype(kind)
+    dx = dkv @ of_keys.T
+    dx.reshape(n, -1, DIM)[:, BLOCK:] += (dqw @ of_ids.T).reshape(n, BLOCK, DIM)
+    g["E"] = np.zeros_like(w["E"])
+    at, dx = _by_symbol(s, dx)
+    g["E"][at] = dx
     return loss, g
 
 
 class Adam:
-    """Weights and their moments; a step for each part of the windows that come."""
+    """Weights and their moments, each as one vector; a step for each part of the windows that come."""
 
     def __init__(self, w: dict[str, np.ndarray], stats: Stats):
-        self.w, self.stats, self.i = {k: v.copy() for k, v in w.items()}, stats, 0
-        self.m1 = {k: np.zeros_like(v) for k, v in w.items()}
-        self.m2 = {k: np.zeros_like(v) for k, v in w.items()}
+        self.stats, self.i = stats, 0
+        self.take(w)
+        self.m1, self.m2, self.room = np.zeros_like(self.flat), np.zeros_like(self.flat), np.zeros_like(self.flat)
+
+    def take(self, w: dict[str, np.ndarray]) -> None:
+        """Goes on from these weights."""
+        self.flat = np.concatenate([w[k].ravel() for k in NAMES])
+        ends = np.cumsum([w[k].size for k in NAMES])
+        self.w = {k: x.reshape(w[k].shape) for k, x in zip(NAMES, np.split(self.flat, ends[:-1]), strict=True)}
 
     def step(self, symbols: np.ndarray, rows: np.ndarray, target: np.ndarray, rate: float) -> None:
-        _, g = gradients(self.w, self.stats, symbols, rows, target)
+        _, parts = gradients(self.w, self.stats, symbols, rows, target)
+        g = np.concatenate([parts[k].ravel() for k in NAMES], out=self.room)
         self.i += 1
         now = rate * min(1.0, self.i / 10)
-        for k, w in self.w.items():
-            self.m1[k] += np.float32(0.1) * (g[k] - self.m1[k])
-            self.m2[k] += np.float32(0.02) * (g[k] * g[k] - self.m2[k])
-            w -= np.float32(now) * (self.m1[k] / np.float32(1 - 0.9**self.i)) / (np.sqrt(self.m2[k] / np.float32(1 - 0.98**self.i)) + np.float32(1e-6))
+        self.m1 *= np.float32(0.9)
+        self.m2 *= np.float32(0.98)
+        g *= np.float32(0.1)
+        self.m1 += g
+        g *= g
+        g *= np.float32(2)  # 0.02 of the squares before they were scaled
+        self.m2 += g
+        np.multiply(self.m2, np.float32(1 / (1 - 0.98**self.i)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-6)
+        np.divide(self.m1, g, out=g)
+        g *= np.float32(now / (1 - 0.9**self.i))
+        self.flat -= g
 
 
 class Learner:
@@ -542,7 +607,7 @@ def train(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows: np.
             x = loss(adam.w)
             if x < least:
                 best, least = {k: v.copy() for k, v in adam.w.items()}, x
-    adam.w = {k: v.copy() for k, v in best.items()}
+    adam.take(best)
     rest = np.nonzero(check & ~own)[0]
     for at in np.array_split(rest, -(-len(rest) // STEP_WINDOWS) or 1) if len(rest) else ():
         adam.step(symbols[at], rows[at], target[at], 0.2 * rate)
@@ -563,9 +628,8 @@ class Model:
         self.m = np.concatenate([w["M"], np.zeros((DIM, 1), np.float32)], 1)
         self.u = np.concatenate([w["U"], w["c"][None]])
         self.near = _near(w["bias"])
-        # no product can pass the largest norms: below LARGEST its exponential needs no shift
-        largest = np.linalg.norm(self.q, axis=1).max() * np.linalg.norm(self.kv[:, :DIM], axis=1).max()
-        self.wild = float(largest) > LARGEST or float(np.abs(w["bias"]).max()) > LARGEST / 2
+        # no product can pass the largest norms: below LARGEST, with its place, its exponential needs no shift
+        self.wild = _bound(self.q, self.kv[:, :DIM]) + float(np.abs(w["bias"]).max()) > LARGEST
         self.places = np.where(_BACK >= 0, w["bias"][np.maximum(_BACK, 0)], _NEVER).astype(np.float32)
         self.follow = stats.follow
         stats.follow = stats.follow[:0]  # only the rows above are used from here
@@ -604,7 +668,7 @@ class Model:
             y = h @ self.u
             p = self.follow.take(rows[here], axis=0)
             at = flat[: len(own)] + cls[here]
-            if max(float(y.max()), -float(y.min())) > LARGEST:
+            if _bound(h, self.u.T) > LARGEST and max(float(y.max()), -float(y.min())) > LARGEST:
                 y -= y.max(1, keepdims=True)
             y_t, p_t = y.ravel().take(at), p.ravel().take(at)
             np.exp(y, out=y)

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -33,6 +34,59 @@ def test_gradients_match_differences():
         assert abs((up - down) / (2 * e) - g[name][at]) < 2e-4, name
 
 
+@pytest.mark.parametrize("large", [1, 12])
+def test_gradients_are_the_same_with_and_without_shifts(monkeypatch, large):
+    rng = np.random.default_rng(2)
+    w = {k: v.astype(np.float64) for k, v in lm.first_weights().items()}
+    w["E"] *= large
+    w["U"] += rng.standard_normal(w["U"].shape) * 0.2
+    w["bias"] += rng.standard_normal(w["bias"].shape)
+    stats = lm.Stats.__new__(lm.Stats)
+    stats.follow = rng.dirichlet(np.ones(lm.CLASSES), 50)
+    s, r, t = rng.integers(0, lm.LAST, (5, 2 * lm.BLOCK)), rng.integers(0, 50, (5, lm.BLOCK)), rng.integers(-1, lm.CLASSES, (5, lm.BLOCK))
+    s[::2, : lm.BLOCK] = -1
+    found = []
+    for largest in (0.0, 500.0):
+        monkeypatch.setattr(lm, "LARGEST", largest)
+        found.append(lm.gradients(w, stats, s, r, t))
+    assert abs(found[0][0] - found[1][0]) < 1e-9
+    for name in lm.NAMES:
+        assert np.allclose(found[0][1][name], found[1][1][name], rtol=1e-7, atol=1e-12), name
+
+
+def test_a_large_place_beside_a_large_product_is_shifted():
+    """exp(59.9) and exp(29.9) each fit single precision, but their product doesn't."""
+    stats = lm.Stats.__new__(lm.Stats)
+    stats.follow, stats.classes, stats.symbols = np.full((4, lm.CLASSES), 1 / lm.CLASSES, np.float32), np.zeros(9, np.int16), np.zeros(9, np.int16)
+    w = lm.first_weights()
+    q, k = w["E"] @ w["Q"] / math.sqrt(lm.DIM), w["E"] @ w["K"]
+    w["K"] *= np.float32(59.9 / (np.linalg.norm(q, axis=1).max() * np.linalg.norm(k, axis=1).max()))
+    w["bias"] += np.float32(29.9)
+    assert lm.Model(w, stats).wild
+
+
+def test_a_step_updates_all_weights_at_once(monkeypatch):
+    """As Adam has it, without arrays besides the gradients: they took longer than the update."""
+    rng = np.random.default_rng(4)
+    w = lm.first_weights()
+    plain = {k: (v.astype(np.float64), 0.0, 0.0) for k, v in w.items()}
+    adam = lm.Adam(w, None)
+    for i in range(1, 13):
+        g = {k: rng.standard_normal(v.shape).astype(np.float32) for k, v in w.items()}
+        monkeypatch.setattr(lm, "gradients", lambda *_, g=g: (0.0, g))
+        tracemalloc.start()
+        adam.step(None, None, None, 0.03)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        for k, (x, a, b) in plain.items():
+            a, b = 0.9 * a + 0.1 * g[k], 0.98 * b + 0.02 * g[k].astype(np.float64) ** 2
+            plain[k] = (x - 0.03 * min(1, i / 10) * a / (1 - 0.9**i) / (np.sqrt(b / (1 - 0.98**i)) + 1e-6), a, b)
+    assert most < 100_000
+    assert all(np.allclose(adam.w[k], plain[k][0], atol=1e-4) for k in w)
+    again = lm.first_weights()
+    assert all(np.array_equal(w[k], again[k]) for k in w)
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     rng = random.Random(3)

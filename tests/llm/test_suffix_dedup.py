@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pathledger.llm import suffix_dedup as sd
@@ -70,3 +71,81 @@ def test_family_levels_and_order():
 
 def test_empty(spark):
     assert sd.remove_passages(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["ab" * 300, "x" * 400, "abc " * 90, None])
+def test_anchors_are_the_leftmost_least_names(text):
+    rng = random.Random(1)
+    texts = [(text or "".join(rng.choice("ab") for _ in range(900))).encode(), b"x" * 99, b"y" * 100]
+    who, start, end, h, _ = sd.anchors(texts)
+    got = [(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(who, start, end, h, strict=True)]
+    want = []
+    for i, t in enumerate(texts):
+        names = sd.names(np.frombuffer(t, np.uint8)).tolist()
+        last = None
+        for p in range(len(t) - 99):
+            least = min(range(p, p + 69), key=lambda q: (names[q], q))
+            if least == last:
+                want[-1] = (i, want[-1][1], p + 100, names[least])
+            else:
+                want.append((i, p, p + 100, names[least]))
+            last = least
+    assert got == want
+
+
+def test_pieces_hold_each_window_once_and_equal_windows_agree():
+    rng = random.Random(2)
+    shared = prose(rng, 60)
+    texts = [(prose(rng, 20) + shared[rng.randint(0, 40) :] + prose(rng, 20)).encode() for _ in range(40)]
+    who, start, end, _, _ = sd.anchors(texts)
+    spans = [[int(a) << 16 | int(b - a) for w, a, b in zip(who, start, end, strict=True) if w == i] for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([0] * len(texts)), pa.array(texts, pa.binary()), pa.array(spans, pa.list_(pa.int64()))], ["doc", "th", "bytes", "marks"])
+    seen, middle = [], {}
+    for r in pa.Table.from_batches(sd._pieces(iter([batch.slice(0, 3), batch.slice(3)]))).to_pylist():
+        assert texts[r["doc"]][r["start"] :].startswith(r["bytes"])
+        for i in range(len(r["bytes"]) - 99):
+            seen.append((r["doc"], r["start"] + i))
+            middle.setdefault(r["bytes"][i : i + 100], set()).add(r["h"])
+    assert sorted(seen) == [(i, p) for i, t in enumerate(texts) for p in range(len(t) - 99)]
+    assert len(middle) < len(seen)
+    assert all(len(x) == 1 for x in middle.values())
+
+
+def rows_moved(monkeypatch):
+    """How many suffixes have been picked so far."""
+    moved = []
+    plain = sd.Suffixes.__getitem__
+    monkeypatch.setattr(sd.Suffixes, "__getitem__", lambda self, which: moved.append(len(x := plain(self, which))) or x)
+    return moved
+
+
+def test_a_batch_leaves_the_rest_of_its_levels_alone(monkeypatch):
+    """Each batch copied all levels that it met, and went through all contexts of its names."""
+    rng = np.random.default_rng(0)
+    moved = rows_moved(monkeypatch)
+    total = {}
+    for many in (32, 128):
+        family, n = sd.Family(), 64
+        c = rng.integers(0, 1 << 63, many * n).astype(np.uint64)
+        moved.clear()
+        for i in range(many):
+            part = np.append(np.arange(i * n, i * n + n), rng.integers(0, i * n + 1))  # one of them has come before
+            h = np.where(part % 2 == 0, 7, part).astype(np.uint64)
+            family.add(sd.Suffixes(h, c[part], part.astype(np.int64), np.zeros(n + 1, np.int64), np.full(n + 1, i), np.full(n + 1, 100), np.zeros(n + 1, bool)))
+        total[many] = sum(moved)
+    assert total[128] < 6 * total[32]
+
+
+def test_windows_that_stay_are_sorted_again_seldom(monkeypatch):
+    """All that had stayed was sorted again with each batch."""
+    monkeypatch.setattr(sd, "BATCH", 16)
+    moved = rows_moved(monkeypatch)
+    total = {}
+    for many in (16, 64):
+        n = 100
+        w = np.random.default_rng(0).permutation(many * n)
+        batches = [pa.RecordBatch.from_arrays([pa.array(np.full(n, sd.MARKED, np.int32)), *(pa.array(x) for x in (np.zeros(n, np.int64), w[i : i + n], w[i : i + n], np.zeros(n, np.int64), np.zeros(n, np.int64))), pa.array([b""] * n, pa.binary())], schema=sd._WINDOWS) for i in range(0, many * n, n)]
+        moved.clear()
+        assert sum(b.num_rows for b in sd._first_windows(iter(batches))) == 0
+        total[many] = sum(moved)
+    assert total[64] < 6 * total[16]

@@ -407,12 +407,9 @@ def _bound(x: np.ndarray, y: np.ndarray) -> float:
     return math.sqrt(np.einsum("ij,ij->i", x, x).max()) * math.sqrt(np.einsum("ij,ij->i", y, y).max())
 
 
-def _by_symbol(s: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols in s, and for each the sum of its rows of x."""
-    order = np.argsort(s.astype(np.uint16), kind="stable")
-    z = s[order]
-    new = np.concatenate(([0], np.nonzero(z[1:] != z[:-1])[0] + 1))
-    return z[new], np.add.reduceat(x.take(order, axis=0), new, axis=0)
+def _largest(x: np.ndarray) -> float:
+    """The largest of the sizes of numbers."""
+    return max(float(x.max()), -float(x.min()))
 
 
 def gradients(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -433,13 +430,12 @@ def gradients(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows:
     keys = np.ones((len(w["E"]), 2 * DIM + 1), kind)
     np.matmul(w["E"], of_keys, out=keys[:, : 2 * DIM])
     ids = w["E"] @ of_ids
-    bounded = _bound(ids[:, :DIM], keys[:, :DIM]) + float(np.abs(w["bias"]).max()) <= LARGEST
     kv = keys.take(s, axis=0).reshape(n, 2 * BLOCK, -1)
     k, v = kv[:, :, :DIM], kv[:, :, DIM:]
     qw = ids.take(own, axis=0)
     q = qw.reshape(n, BLOCK, -1)[:, :, :DIM]
     a = q @ k.transpose(0, 2, 1)
-    if bounded:
+    if _largest(a) + _largest(w["bias"]) <= LARGEST:
         np.exp(a, out=a)
         a *= _near(w["bias"])
         if len(gaps):
@@ -462,7 +458,7 @@ def gradients(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows:
     back = np.ones((CLASSES, HIDDEN + 1), kind)
     back[:, :HIDDEN] = w["U"].T
     y = h @ u
-    if _bound(h, u.T) > LARGEST and max(float(y.max()), -float(y.min())) > LARGEST:
+    if _largest(y) > LARGEST:
         y -= y.max(1, keepdims=True)
     d = np.exp(y, out=y)
     d *= stats.follow.take(rows.ravel(), axis=0)
@@ -503,11 +499,10 @@ def gradients(w: dict[str, np.ndarray], stats: Stats, symbols: np.ndarray, rows:
     g_keys, g_ids = (dkv.T @ x).T, (dqw.T @ x.reshape(n, -1, DIM)[:, BLOCK:].reshape(-1, DIM)).T
     g |= {"Q": g_ids[:, :DIM] * scale, "W": g_ids[:, DIM:], "K": g_keys[:, :DIM], "V": g_keys[:, DIM:]}
     g["bias"] = np.bincount(np.maximum(_BACK, 0).ravel(), np.where(_BACK >= 0, by_place, 0).ravel(), 2 * BLOCK).astype(kind)
-    dx = dkv @ of_keys.T
-    dx.reshape(n, -1, DIM)[:, BLOCK:] += (dqw @ of_ids.T).reshape(n, BLOCK, DIM)
-    g["E"] = np.zeros_like(w["E"])
-    at, dx = _by_symbol(s, dx)
-    g["E"][at] = dx
+    # a row for each dimension: its sums by symbol need no order
+    dx = of_keys @ dkv.T
+    dx.reshape(DIM, n, -1)[:, :, BLOCK:] += (of_ids @ dqw.T).reshape(DIM, n, BLOCK)
+    g["E"] = np.array([np.bincount(s, part, len(w["E"])) for part in dx]).T.astype(kind, order="C")
     return loss, g
 
 
@@ -635,44 +630,54 @@ class Model:
         stats.follow = stats.follow[:0]  # only the rows above are used from here
         self.classes, self.symbols = stats.classes.astype(np.int64), stats.symbols.astype(np.int64)
 
-    def score(self, tokens: np.ndarray, sizes: np.ndarray, end: np.ndarray, step: int = 16) -> np.ndarray:
+    def score(self, tokens: np.ndarray, sizes: np.ndarray, end: np.ndarray, step: int = 32) -> np.ndarray:
         """Log10 chance of each text with its end; tokens: those of all texts, sizes: how many each has."""
         if not len(sizes):
             return np.zeros(0)
         starts, seen, goal, real, first = laid_out(tokens, sizes, end)
         ids_s, rows = self.symbols[seen["id"]], seen["row"].astype(np.int64)
         cls = self.classes[goal["id"]]
-        out = np.zeros(len(seen))
+        # of each place: the goal's weight and count, and the sum over all classes
+        power, count, total = (np.zeros(len(seen), np.float32) for _ in range(3))
         flat = np.arange(step * BLOCK) * CLASSES
-        for lo in range(1, starts[-1], step):
+        gaps = [np.nonzero(first[lo : lo + step])[0] for lo in range(1, starts[-1], step)]
+        # fresh arrays for each step cost more than what is done in some of them
+        places = step * BLOCK
+        kv_, q_, w_, y_, p_, a_, o_, h_ = (np.empty(x, np.float32) for x in ((places + BLOCK, 2 * DIM + 1), (places, DIM), (places, HIDDEN + 1), (places, CLASSES), (places, CLASSES), (step, BLOCK, 2 * BLOCK), (step, BLOCK, DIM + 1), (places, HIDDEN + 1)))
+        for lo, gap in zip(range(1, starts[-1], step), gaps, strict=True):
             hi = min(lo + step, starts[-1])
+            n, m = hi - lo, (hi - lo) * BLOCK
             s, here = ids_s[(lo - 1) * BLOCK : hi * BLOCK], slice(lo * BLOCK, hi * BLOCK)
-            kv = self.kv.take(s, axis=0)
+            kv = self.kv.take(s, axis=0, out=kv_[: m + BLOCK], mode="clip")
             # each block with the one before it: views of the same rows
-            both = as_strided(kv, (hi - lo, 2 * BLOCK, 2 * DIM + 1), (BLOCK * kv.strides[0], *kv.strides), writeable=False)
+            both = as_strided(kv, (n, 2 * BLOCK, 2 * DIM + 1), (BLOCK * kv.strides[0], *kv.strides), writeable=False)
             own = s[BLOCK:]
-            a = self.q.take(own, axis=0).reshape(-1, BLOCK, DIM) @ both[:, :, :DIM].transpose(0, 2, 1)
+            q = self.q.take(own, axis=0, out=q_[:m], mode="clip").reshape(n, BLOCK, DIM)
+            a = np.matmul(q, both[:, :, :DIM].transpose(0, 2, 1), out=a_[:n])
             if self.wild:
                 a += self.places
-                a[first[lo:hi], :, :BLOCK] = _NEVER
+                a[gap, :, :BLOCK] = _NEVER
                 a -= a.max(2, keepdims=True)
                 np.exp(a, out=a)
             else:
                 np.exp(a, out=a)
                 a *= self.near
-                a[first[lo:hi], :, :BLOCK] = 0
-            o = (a @ both[:, :, DIM:]).reshape(-1, DIM + 1)
-            h = (o[:, 1:] / o[:, :1]) @ self.m
-            h += self.w.take(own, axis=0)
+                a[gap, :, :BLOCK] = 0
+            o = np.matmul(a, both[:, :, DIM:], out=o_[:n]).reshape(m, DIM + 1)
+            o[:, 1:] /= o[:, :1]
+            h = np.matmul(o[:, 1:], self.m, out=h_[:m])
+            h += self.w.take(own, axis=0, out=w_[:m], mode="clip")
             np.maximum(h, 0, out=h)
-            y = h @ self.u
-            p = self.follow.take(rows[here], axis=0)
-            at = flat[: len(own)] + cls[here]
-            if _bound(h, self.u.T) > LARGEST and max(float(y.max()), -float(y.min())) > LARGEST:
+            y = np.matmul(h, self.u, out=y_[:m])
+            p = self.follow.take(rows[here], axis=0, out=p_[:m], mode="clip")
+            at = flat[:m] + cls[here]
+            if _largest(y) > LARGEST:
                 y -= y.max(1, keepdims=True)
-            y_t, p_t = y.ravel().take(at), p.ravel().take(at)
+            power[here], count[here] = y.ravel().take(at), p.ravel().take(at)
             np.exp(y, out=y)
-            out[here] = np.log(p_t) + y_t - np.log(np.einsum("ij,ij->i", y, p))
+            total[here] = np.einsum("ij,ij->i", y, p)
+        out = np.zeros(len(seen))
+        out[BLOCK:] = np.log(count[BLOCK:]) + power[BLOCK:] - np.log(total[BLOCK:])
         out += goal["within"]
         out[~real] = 0
         return np.add.reduceat(out, starts[:-1] * BLOCK) / LOG10

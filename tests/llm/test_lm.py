@@ -231,3 +231,23 @@ def test_windows_are_the_blocks_of_the_texts(spark):
 
 def test_empty(spark):
     assert lm.score_texts(empty(spark)).count() == 0
+
+
+def test_scoring_takes_logarithms_once_and_steps_change_nothing(monkeypatch):
+    """Logarithms of a few places with each step were time without use. Scores of texts of any length don't depend on the step."""
+    rng = np.random.default_rng(3)
+    stats = lm.Stats.__new__(lm.Stats)
+    stats.follow = rng.dirichlet(np.ones(lm.CLASSES), 50).astype(np.float32)
+    stats.classes, stats.symbols = rng.integers(0, lm.CLASSES, 900).astype(np.int16), rng.integers(0, lm.LAST, 900).astype(np.int16)
+    m = lm.Model(lm.first_weights(), stats)
+    sizes = np.array([0, 5, 31, 32, 33, 64, 1, 3000, 40])
+    tokens = np.zeros(sizes.sum(), lm.TOKEN)
+    tokens["id"], tokens["row"] = rng.integers(0, 899, len(tokens)), rng.integers(0, 50, len(tokens))
+    end = np.array([(899, 7, -0.5)], lm.TOKEN)
+    want = m.score(tokens, sizes, end, step=1)
+    for step in (2, 7, 16, 1000):
+        assert np.allclose(m.score(tokens, sizes, end, step=step), want, rtol=1e-5)
+    made, log = [], np.log
+    monkeypatch.setattr(np, "log", lambda *a, **k: made.append(1) or log(*a, **k))
+    assert np.allclose(m.score(tokens, sizes, end), want, rtol=1e-5)
+    assert len(made) == 2
